@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import analytics, features, linking
+
+QUERIES = features.QUERIES | linking.QUERIES | analytics.QUERIES
+ORACLES = features.ORACLES | linking.ORACLES | analytics.ORACLES
