@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, stored
 
 MARGINS = ("source", "lang", "topic")
 #: Topics by form, the first that holds; each is a SQL condition on the text.
@@ -57,8 +57,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
             key = f"__{m}"
             now = out.groupBy(key).agg(F.sum("w").alias("now"))
             factor = now.join(targets[m].withColumnRenamed("value", key), key, "left").select(key, F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) / F.col("now")).otherwise(F.lit(0.0)).alias("factor"))
-            # the cells stand on both sides of the join: cut, so that the plan stays as it is
-            out = cut(out.join(factor, key).withColumn("w", F.col("w") * F.col("factor")).drop("factor"))
+            # the cells stand on both sides of the join: a written table keeps the plan, and what Spark infers
+            # of it, from growing with the rounds
+            out = stored(out.join(factor, key).withColumn("w", F.col("w") * F.col("factor")).drop("factor"))
     return out
 
 
