@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 A linear classifier over hashed words and word-bounded byte 5-grams (presence in the text) is trained in
-numpy on confirmed toxic texts against unlabelled ones. The risk is  pi R+(1) + max(0, Ru(-1) - pi R+(-1)):
+numpy on confirmed toxic texts against unlabelled ones, over the features whose rates differ between the
+two by `z` standard errors. The risk is  pi R+(1) + max(0, Ru(-1) - pi R+(-1)):
 negatives are never asked for, and where the corrected negative risk falls below zero its gradient is
 reversed. The class prior pi is the toxic share of the labelled training rows unless given.
 
@@ -76,15 +77,24 @@ class Classifier:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, rate: float = 0.02, batch: int = 512, decay: float = 1e-4, seed: int = 7) -> Classifier:
+def screened(positive: list[np.ndarray], unlabelled: list[np.ndarray], z: float) -> np.ndarray:
+    """Which features toxic and unlabelled texts have at rates that differ by z standard errors or more."""
+    size = 1 << BITS
+    a, b = (np.bincount(np.concatenate(xs), minlength=size) for xs in (positive, unlabelled))
+    n, m = len(positive), len(unlabelled)
+    rate = (a + b) / (n + m)
+    error = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n + 1 / m))
+    return (np.abs(a / n - b / m) / error >= z) & (a + b >= 4)
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, rate: float = 0.02, batch: int = 512, decay: float = 1e-4, z: float = 5.0, seed: int = 7) -> Classifier:
     """Adam on the non-negative risk with the logistic loss."""
     size = 1 << BITS
     w, bias = np.zeros(size + 1), 0.0
     if not positive or not unlabelled:
         return Classifier(w[:size].astype(np.float32), -500.0, prior)
-    # features that a single text has tell nothing
-    seen = np.bincount(np.concatenate([*positive, *unlabelled]), minlength=size)
-    positive, unlabelled = ([x[seen[x] > 1] for x in xs] for xs in (positive, unlabelled))
+    known = screened(positive, unlabelled, z)
+    positive, unlabelled = ([x[known[x]] for x in xs] for xs in (positive, unlabelled))
     w[size] = bias = np.log(prior / (1 - prior))
     m, v, t = np.zeros(size + 1), np.zeros(size + 1), 0
     rng = np.random.default_rng(seed)
@@ -99,11 +109,11 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
                 continue
             rows = a + b
             n = np.array([len(x) for x in rows])
-            flat = np.concatenate(rows)
+            flat = np.concatenate(rows).astype(np.int64)
             off = np.concatenate([[0], np.cumsum(n)])
-            z = tb.per_doc_sum(w[flat], off) + w[size]
-            s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            loss_neg = np.logaddexp(0, z)
+            logit = tb.per_doc_sum(w[flat], off) + w[size]
+            s = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+            loss_neg = np.logaddexp(0, logit)
             negative = loss_neg[len(a) :].mean() - prior * loss_neg[: len(a)].mean()
             if negative >= 0:
                 g = np.concatenate([(prior * (s[: len(a)] - 1) - prior * s[: len(a)]) / len(a), s[len(a) :] / len(b)])
