@@ -146,7 +146,7 @@ def low_bytes(n: str) -> Column:
     return F.expr(f"shiftleft(1L, cast(8 * ({n}) as int)) - 1")
 
 
-def grow(grams: DataFrame, depth: int, gain: float = 12.0, max_rows: int = 1_500_000) -> Tree:
+def grow(grams: DataFrame, depth: int, gain: float = 4.0, max_rows: int = 1_500_000) -> Tree:
     """Count contexts of every length, keep those that diverge, and collect the bounded tree."""
     level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k")
     if not 0 <= depth <= 6:
@@ -217,7 +217,7 @@ def head_words(words: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
     return h[order], table["n"].to_numpy(np.int64)[order]
 
 
-def score(docs: DataFrame, train: DataFrame, keep: list[Column], depth: int = 5, gain: float = 12.0, max_rows: int = 1_500_000, head: int = 1 << 18) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, keep: list[Column], depth: int = 5, gain: float = 4.0, max_rows: int = 1_500_000, head: int = 1 << 18) -> DataFrame:
     """The kept columns, n_tokens, n_known, train_tokens, base_score and score for each row."""
     words, grams = counted(train, depth)
     tree = grow(grams, depth, gain, max_rows)

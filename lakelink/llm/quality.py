@@ -31,7 +31,8 @@ P = len(STATS)
 #: Median of the chi-square distribution with P degrees of freedom (Wilson-Hilferty).
 MEDIAN = P * (1 - 2 / (9 * P)) ** 3
 BINS_PER_DOUBLING = 32
-FLOOR = 0.02
+#: Least spread of each statistic: what differs by less is alike. Repeats and lines have rules of their own.
+FLOORS = np.array([0.05, 0.03, 0.08, 0.05, 0.12, 0.3, 0.08, 0.4])
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -54,24 +55,34 @@ def repeat_words(w: tb.Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     docs, doc = len(w.off) - 1, w.doc()
     if not len(h):
         return np.zeros(docs, np.int64), np.zeros(docs, np.int64)
-    salt = tb.mix(doc.astype(np.uint64) + np.uint64(1))
-    # distinct words of a document: first of equal salted hashes
-    salted = tb.mix(h ^ salt)
-    _, at = np.unique(salted, return_index=True)
-    distinct = np.bincount(doc[at], minlength=docs)
+    # 16 bits of document and 48 of hash: one sort of plain numbers puts equal values of a text together
+    place = doc.astype(np.uint64) << np.uint64(48)
+    distinct = np.bincount((_runs(place | (h >> np.uint64(16)))[0] >> np.uint64(48)).astype(np.int64), minlength=docs)
     g = tb.rolling(h, 3)
-    ok = doc[: len(g)] == doc[2 : 2 + len(g)] if len(g) else np.zeros(0, bool)
-    begin = np.flatnonzero(ok)
+    begin = np.flatnonzero(doc[: len(g)] == doc[2 : 2 + len(g)]) if len(g) else np.zeros(0, np.int64)
     if not len(begin):
         return np.zeros(docs, np.int64), distinct
-    _, inverse, n = np.unique(tb.mix(g[begin] ^ salt[begin]), return_inverse=True, return_counts=True)
-    again = begin[n[inverse] > 1]
+    grams = place[begin] | (g[begin] >> np.uint64(16))
+    value, n = _runs(grams)
+    twice = value[n > 1]
+    if not len(twice):
+        return np.zeros(docs, np.int64), distinct
+    at = np.searchsorted(twice, grams)
+    at[at == len(twice)] = 0
+    again = begin[twice[at] == grams]
     covered = np.zeros(len(h), bool)
     for k in range(3):
         covered[again + k] = True
     return np.bincount(doc[covered], minlength=docs), distinct
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and how often each occurs."""
+    v = np.sort(values)
+    new = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    return v[new], np.diff(np.concatenate([new, [len(v)]]))
+
+
 def measure(column: pa.Array) -> dict[str, np.ndarray]:
     """Base counts and further raw counts of each text."""
     held: dict[str, list] = {k: [] for k in (*BASE, "marks", "upper", "letters", "digits", "distinct", "n_lines")}
@@ -175,7 +186,7 @@ def fit(stats: DataFrame, min_rows: int = 400, steps: int = 5) -> DataFrame:
     def first(frames):
         for f in frames:
             q = np.array([[*map(list, f.iloc[k, 1:])] for k in range(len(f))], float).reshape(len(f), P, 3)
-            spread = np.maximum((q[:, :, 2] - q[:, :, 0]) / 1.349, FLOOR)
+            spread = np.maximum((q[:, :, 2] - q[:, :, 0]) / 1.349, FLOORS)
             yield _model(f["g"], q[:, :, 1], np.stack([np.diag(s**2) for s in spread]), np.ones(len(f)))
 
     schema = "g string, centre array<double>, inverse array<double>, scale double"
@@ -202,7 +213,7 @@ def fit(stats: DataFrame, min_rows: int = 400, steps: int = 5) -> DataFrame:
                 cov = np.zeros((len(f), P, P))
                 for i, j in pairs:
                     cov[:, i, j] = cov[:, j, i] = f[f"s{i}_{j}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
-                cov += np.eye(P) * FLOOR**2
+                cov += np.diag(FLOORS**2)
                 yield _model(f["g"], mean, cov, np.ones(len(f)))
 
         model = cut(moments.mapInPandas(concentrate, schema))
@@ -231,7 +242,7 @@ def groups(df: DataFrame) -> DataFrame:
 
 
 #: Squared distances beyond this are outliers. Statistics of clean texts have heavier tails than a normal.
-CUTOFF = 120.0
+CUTOFF = 700.0
 
 
 def assess(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = 400) -> DataFrame:

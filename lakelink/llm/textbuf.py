@@ -153,7 +153,8 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
 
 def per_doc_sum(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Sum of per-byte (or per-word) values in each document."""
-    total = np.concatenate([[0], np.cumsum(values)])
+    kind = np.int32 if values.dtype == bool and len(values) < 1 << 31 else None
+    total = np.concatenate([[0], np.cumsum(values, dtype=kind)])
     return total[off[1:]] - total[off[:-1]]
 
 
