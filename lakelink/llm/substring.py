@@ -9,7 +9,7 @@ found twice are joined into maximal repeats, whose words are removed.
 
 No pairs are made: occurrences of an anchor are counted and meet by hash. A run is identified by its
 anchor's and its own 64-bit hash. The anchors that occur again are handed out as a bit map of bounded size
-(`max_bits`) that may let single ones through but loses none. Texts under `length` words, empty and null
+(`max_bits`) that may let single ones through but loses none, and so are runs and windows found again. Texts under `length` words, empty and null
 ones have no window. Rows that repeat as a whole repeat their windows and lose them all.
 """
 
@@ -55,12 +55,12 @@ def anchors(w: tb.Words, length: int, gram: int):
     return h, doc[first], first, last - first + 1, g[pick[first]]
 
 
-def run_hashes(h: np.ndarray, first: np.ndarray, size: np.ndarray, anchor_at: np.ndarray) -> np.ndarray:
-    """Hash of `size` words from `first`, and of where the anchor is in them."""
+def run_hashes(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of `size` words from `first`."""
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix(h) * _powers(len(h)), dtype=np.uint64)])
     inverse = np.uint64(pow(tb.P, -1, 1 << 64))
     run = (total[first + size] - total[first]) * _power_of(inverse, first)
-    return tb.mix(run ^ tb.mix(size.astype(np.uint64) << np.uint64(32) ^ anchor_at.astype(np.uint64)))
+    return tb.mix(run ^ tb.mix(size.astype(np.uint64)))
 
 
 def _powers(n: int) -> np.ndarray:
@@ -92,68 +92,128 @@ def count_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def bit_map(found: DataFrame, max_bits: int) -> np.ndarray:
-    """One bit for each hash, in a power of two of bits: 16 a hash, at most max_bits."""
-    found = cut(found)
-    bits = 16
-    while 1 << bits < min(16 * found.count(), max_bits):
+    """One bit for each hash of the one column, in a power of two of bits: 16 a hash, at most max_bits."""
+    col = found.columns[0]
+    bits, goal = 16, min(16 * found.count(), max_bits)
+    while 1 << bits < goal:
         bits += 1
     out = np.zeros(1 << (bits - 3), np.uint8)
-    low = min(WORD_BITS, bits)
-    index = F.shiftrightunsigned("anchor", 64 - bits)
-    rows = found.select(F.shiftrightunsigned(index, low).alias("piece"), index.bitwiseAND((1 << low) - 1).cast("int").alias("at")).distinct()
+    index = F.shiftrightunsigned(col, 64 - bits)
+    rows = found.select(F.shiftrightunsigned(index, WORD_BITS).alias("piece"), index.bitwiseAND((1 << WORD_BITS) - 1).cast("int").alias("at")).distinct()
 
     def pack(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             piece, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for p in np.unique(piece):
-                held.setdefault(int(p), np.zeros(1 << low, bool))[at[piece == p]] = True
+            order = np.argsort(piece, kind="stable")
+            piece, at = piece[order], at[order]
+            for p, part in zip(*_split(piece, at), strict=True):
+                held.setdefault(int(p), np.zeros(1 << WORD_BITS, bool))[part] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], ["piece", "bits"])
 
-    step = 1 << (low - 3)
+    step = 1 << (WORD_BITS - 3)
     for r in rows.repartition("piece").mapInArrow(pack, "piece long, bits binary").toLocalIterator():
         out[r["piece"] * step : (r["piece"] + 1) * step] |= np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def _split(key: np.ndarray, values: np.ndarray):
+    """Runs of an ascending key, and their values."""
+    if not len(key):
+        return [], []
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[new], np.split(values, new[1:])
+
+
 def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     size = (len(bits) * 8).bit_length() - 1
     at = hashes >> np.uint64(64 - size)
     return bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
+def both(anchor: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """One hash of an anchor and of what goes with it; together with the anchor it has 128 bits."""
+    return tb.mix(anchor ^ tb.mix(other + np.uint64(tb.P)))
+
+
+def long_array(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def tallied(anchor: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """(anchor, id, n) of a slice."""
+    order = np.argsort(ids, kind="stable")
+    ids, anchor = ids[order], anchor[order]
+    new = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    n = np.diff(np.concatenate([new, [len(ids)]])).astype(np.int32)
+    return pa.RecordBatch.from_arrays([long_array(anchor[new]), long_array(ids[new]), pa.array(n)], ["anchor", "id", "n"])
+
+
+def runs_of(w: tb.Words, length: int, gram: int):
+    """Document, first window, windows, anchor and identity of each run of windows with one anchor."""
+    h, doc, first, n, a = anchors(w, length, gram)
+    return h, doc, first, n, a, both(a, run_hashes(h, first, n + length - 1)) if len(a) else a
+
+
+def windows_of(h: np.ndarray, first: np.ndarray, n: np.ndarray, a: np.ndarray, length: int):
+    """Run index, first word, anchor and identity of each window of these runs."""
+    offs = np.concatenate([[0], np.cumsum(n)])
+    run = np.repeat(np.arange(len(n)), n)
+    at = first[run] - offs[:-1][run] + np.arange(offs[-1])
+    return run, at, a[run], both(a[run], tb.rolling(h, length)[at]) if len(at) else a[run]
+
+
 def repeats(docs: DataFrame, length: int = 35, gram: int = 10, max_bits: int = 1 << 27) -> DataFrame:
-    """Windows found again: (key, first, windows) with word positions; key identifies id and text."""
-    bits = docs.sparkSession.sparkContext.broadcast(bit_map(count_anchors(docs, length, gram), max_bits))
+    """Windows found again, as (key, first, windows) with word positions; key identifies id and text.
 
-    def run(batches):
+    Four passes over the texts hand on little: anchors; runs around repeated anchors; windows of the runs
+    whose anchor has more than one kind of run; the places of what was found twice. Bit maps keep the passes
+    from emitting what is single; equality of hashes decides.
+    """
+    spark, texts = docs.sparkSession, docs.select("text")
+    repeated = spark.sparkContext.broadcast(bit_map(cut(count_anchors(docs, length, gram)), max_bits))
+
+    def count_runs(batches):
+        for batch in batches:
+            for _, _, data, off in tb.slices(batch.column(0)):
+                _, _, _, _, a, ids = runs_of(tb.words(data, off), length, gram)
+                on = among(repeated.value, a)
+                yield tallied(a[on], ids[on])
+
+    runs = cut(texts.mapInArrow(count_runs, "anchor long, id long, n int").groupBy("anchor", "id").agg(F.sum("n").alias("n")))
+    whole = runs.where("n > 1").select("anchor", "id")
+    kinds = cut(runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"))
+    # an anchor whose runs all are the same needs no look at single windows
+    mixed = spark.sparkContext.broadcast(bit_map(kinds, max_bits))
+    is_whole = spark.sparkContext.broadcast(bit_map(whole.select("id"), max_bits))
+
+    def count_windows(batches):
+        for batch in batches:
+            for _, _, data, off in tb.slices(batch.column(0)):
+                h, _, first, n, a, _ = runs_of(tb.words(data, off), length, gram)
+                on = among(mixed.value, a)
+                _, _, anchor, ids = windows_of(h, first[on], n[on], a[on], length)
+                yield tallied(anchor, ids)
+
+    again = cut(texts.mapInArrow(count_windows, "anchor long, id long, n int").groupBy("anchor", "id").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "id"))
+    is_again = spark.sparkContext.broadcast(bit_map(again.select("id"), max_bits))
+
+    def places(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy()
             for lo, _, data, off in tb.slices(batch.column(1)):
                 w = tb.words(data, off)
-                h, doc, first, n, a = anchors(w, length, gram)
-                on = among(bits.value, a)
-                doc, first, n, a = doc[on], first[on], n[on], a[on]
-                if not len(a):
-                    continue
-                windows = tb.rolling(h, length)
-                # the anchor's place in its run shows in the hashes before it, so the run's own hash tells it
-                whole = run_hashes(h, first, n + length - 1, np.zeros(len(n), np.int64))
-                offs = np.concatenate([[0], np.cumsum(n)])
-                each = np.repeat(first - offs[:-1], n) + np.arange(offs[-1])
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(keys[lo + doc]), pa.array((first - w.first[doc]).astype(np.int32)), tb.list_array(offs, windows[each].view(np.int64), pa.int64())], ["anchor", "whole", "key", "first", "windows"])
-
-    rows = cut(docs.select(key().alias("key"), "text").mapInArrow(run, "anchor long, whole long, key long, first int, windows array<long>"))
-    runs = rows.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.first("windows").alias("windows"))
-    runs = cut(runs)
-    # an anchor whose runs all are the same needs no look at single windows
-    single = runs.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total")).where("total > 1 and kinds > 1").select("anchor")
-    parts = runs.join(single, "anchor").select("anchor", "whole", "n", F.posexplode("windows").alias("at", "window"))
-    again = parts.groupBy("anchor", "window").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "window")
-    partly = parts.where("n = 1").join(again, ["anchor", "window"]).groupBy("anchor", "whole").agg(F.sort_array(F.collect_set("at")).alias("ats"))
-    whole = runs.where("n > 1").select("anchor", "whole", F.sequence(F.lit(0), F.size("windows") - 1).alias("ats"))
-    flagged = whole.unionByName(partly)
-    return rows.select("anchor", "whole", "key", "first").join(flagged, ["anchor", "whole"]).select("key", "first", "ats")
+                h, doc, first, n, a, ids = runs_of(w, length, gram)
+                on = np.flatnonzero(among(is_whole.value, ids) & among(repeated.value, a))
+                part = np.flatnonzero(among(mixed.value, a))
+                run, at, anchor, wid = windows_of(h, first[part], n[part], a[part], length)
+                some = among(is_again.value, wid)
+                run, at, anchor, wid = part[run[some]], at[some], anchor[some], wid[some]
+                d = np.concatenate([doc[on], doc[run]])
+                yield pa.RecordBatch.from_arrays([long_array(np.concatenate([a[on], anchor])), long_array(np.concatenate([ids[on], wid])), pa.array(keys[lo + d]), pa.array((np.concatenate([first[on], at]) - w.first[d]).astype(np.int32)), pa.array(np.concatenate([n[on], np.ones(len(at), np.int64)]).astype(np.int32))], ["anchor", "id", "key", "first", "windows"])
+
+    found = docs.select(key().alias("key"), "text").mapInArrow(places, "anchor long, id long, key long, first int, windows int")
+    return found.join(whole.unionByName(again), ["anchor", "id"]).select("key", "first", "windows")
 
 
 def key():
@@ -163,8 +223,8 @@ def key():
 def dedup(docs: DataFrame, length: int = 35, gram: int = 10, max_bits: int = 1 << 27) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, joined by a space) for each row."""
     docs = docs.select("doc_id", "text")
-    found = repeats(docs, length, gram, max_bits).groupBy("key").agg(F.collect_list(F.struct("first", "ats")).alias("runs"))
-    rows = docs.withColumn("key", key()).join(found, "key", "left").select("doc_id", "text", F.expr("flatten(transform(runs, r -> transform(r.ats, a -> r.first + a)))").alias("at"))
+    found = repeats(docs, length, gram, max_bits).groupBy("key").agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
+    rows = docs.withColumn("key", key()).join(found, "key", "left").select("doc_id", "text", F.expr("flatten(transform(runs, r -> sequence(r.first, r.first + r.windows - 1)))").alias("at"))
 
     def run(batches):
         for batch in batches:
