@@ -74,7 +74,7 @@ def sweep(candidates: DataFrame, thresholds: list[float], mode: str = "string")
         n = F.size(F.filter("best", lambda x: x >= F.col("threshold")))
         keys = keys.withColumn("score", F.try_divide(n * 100.0, F.greatest(F.size("m_tokens"), F.size("k_tokens"))))
         rows = candidates.join(keys.select("m_key", "key", "threshold", "score"), ["m_key", "key"])
-    best = rows.where("score >= threshold").groupBy("threshold", "m_key", "subset").agg(F.min(F.struct((-F.col("score")).alias("s"), "parameter_id")).alias("b"))
+    best = rows.where(F.col("score") >= F.col("threshold")).groupBy("threshold", "m_key", "subset").agg(F.min(F.struct((-F.col("score")).alias("s"), "parameter_id")).alias("b"))
     return best.select("threshold", "m_key", "subset", "b.parameter_id", (-F.col("b.s")).alias("score"))
 
 
