@@ -76,7 +76,7 @@ def fit(train: DataFrame, bits: int = 15, alpha: float = 0.1, max_model_bytes: i
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
 
-    rows = train.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = train.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     table = np.zeros((len(langs), 1 << bits))
     if len(rows):
         code = pd.Categorical(rows["lang"], categories=langs).codes

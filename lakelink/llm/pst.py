@@ -146,7 +146,7 @@ def low_bytes(n: str) -> Column:
     return F.expr(f"shiftleft(1L, cast(8 * ({n}) as int)) - 1")
 
 
-def grow(grams: DataFrame, depth: int, gain: float = 4.0, max_rows: int = 1_500_000) -> Tree:
+def grow(grams: DataFrame, depth: int, gain: float = 4.0, max_rows: int = 600_000) -> Tree:
     """Count contexts of every length, keep those that diverge, and collect the bounded tree."""
     level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k")
     if not 0 <= depth <= 6:
@@ -170,8 +170,9 @@ def grow(grams: DataFrame, depth: int, gain: float = 4.0, max_rows: int = 1_500_
         if rows.count() <= max_rows:
             break
         gain *= 2
-    table = rows.select("k", "code", "n").toPandas()
-    return smooth(table["k"].to_numpy(np.int64), table["code"].to_numpy(np.int64).view(U64), table["n"].to_numpy(np.float64), depth)
+    table = rows.select("k", "code", "n").toArrow()
+    k, code, n = (table.column(c).to_numpy() for c in ("k", "code", "n"))
+    return smooth(k.astype(np.int64), code.view(U64), n.astype(np.float64), depth)
 
 
 def smooth(k: np.ndarray, code: np.ndarray, n: np.ndarray, depth: int) -> Tree:
@@ -211,13 +212,13 @@ def head_words(words: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
         least = at
     if least is None:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    table = words.where(rung >= least).toPandas()
-    h = table["word"].to_numpy(np.int64).view(U64)
+    table = words.where(rung >= least).select("word", "n").toArrow()
+    h = table.column("word").to_numpy().view(U64)
     order = np.argsort(h)
-    return h[order], table["n"].to_numpy(np.int64)[order]
+    return h[order], table.column("n").to_numpy()[order]
 
 
-def score(docs: DataFrame, train: DataFrame, keep: list[Column], depth: int = 5, gain: float = 4.0, max_rows: int = 1_500_000, head: int = 1 << 18) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, keep: list[Column], depth: int = 5, gain: float = 4.0, max_rows: int = 600_000, head: int = 1 << 18) -> DataFrame:
     """The kept columns, n_tokens, n_known, train_tokens, base_score and score for each row."""
     words, grams = counted(train, depth)
     tree = grow(grams, depth, gain, max_rows)
