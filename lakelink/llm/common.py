@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..session import attach
 
 #: Rows with a fixed width that may be broadcast; beyond it a join shuffles.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

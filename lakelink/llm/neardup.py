@@ -166,11 +166,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(k, label): the least node of each connected component, by label exchange and pointer jumps."""
     edges = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(edges.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("label")))
+    back = edges.withColumnRenamed("a", "k")
     while True:
-        near = edges.join(labels.withColumnRenamed("k", "b"), "b").groupBy(F.col("a").alias("k")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "k").select("k", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = labels.select(F.col("k").alias("mid"), F.col("label").alias("far"))
-        step = cut(step.join(jump, "mid", "left").select("k", "old", F.least("mid", "far").alias("label")))
+        step = labels
+        for _ in range(2):  # two exchanges for each look at whether anything changed
+            near = back.join(step.withColumnRenamed("k", "b"), "b").groupBy("k").agg(F.min("label").alias("near"))
+            step = step.join(near, "k").select("k", F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("k").alias("label"), F.col("label").alias("far"))
+        step = step.join(jump, "label", "left").select("k", F.least("label", "far").alias("label"))
+        step = cut(step.join(labels.withColumnRenamed("label", "old"), "k").select("k", "old", "label"))
         changed = step.where("label <> old").limit(1).count()
         labels = step.select("k", "label")
         if not changed:
@@ -191,29 +195,34 @@ def link(docs: DataFrame, threshold: float = 0.8, max_rounds: int = 16) -> tuple
     keys = cut(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")).withColumn("k", F.monotonically_increasing_id()))
     member = candidates(keys)
     want = cut(member.select("k").distinct().join(keys.select("k", "key", "doc_id"), "k"))
-    n = want.count()
+    n, nameless = want.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     labels = want.select("k", F.col("k").alias("label")).limit(0)
     rows, keys = rows.select("doc_id", "key"), keys.select("k", "key", "doc_id")
     if not n:
         return rows, keys, labels
     # texts of the candidates: by the id first, then by the key that the text gives, as an id may repeat
     some = docs.join(small(want.select("doc_id").where("doc_id is not null").distinct(), n), "doc_id", "left_semi")
-    if want.where("doc_id is null").limit(1).count():
+    if nameless:
         some = some.unionByName(docs.where("doc_id is null"))
     texts = named(some).join(small(want.select("k", "key"), n), "key").select("k", "text")
     texts = stored(texts.groupBy("k").agg(F.min("text").alias("text")))
     edges = tried = None
     for r in range(max_rounds + 1):
-        cls = member.withColumn("cls", F.col("k"))
         last = False
         if r:
-            cls = cut(member.join(labels, "k", "left").select("bucket", "k", F.coalesce("label", "k").alias("cls")))
+            cls = member.join(labels, "k", "left").select("bucket", "k", F.coalesce("label", "k").alias("cls"))
             size = cls.groupBy("bucket", "cls").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("kinds")).where("kinds > 1")
-            open_, work, total = size.agg(F.count("*"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
-            if not open_:
+            # only buckets that still hold more than one class go on
+            cls = cut(cls.join(size, "bucket"))
+            member = cls.select("bucket", "k")
+            each = (F.col("n") * F.col("n") - F.col("same")) / 2 / F.col("n")
+            rest, work = cls.agg(F.count("*"), F.sum(each)).first()
+            if not rest:
                 break
-            last = work <= 4 * total or r == max_rounds
-            cls = cls.join(size.select("bucket"), "bucket")
+            last = work <= 4 * rest or r == max_rounds
+            cls = cls.select("bucket", "k", "cls")
+        else:
+            cls = member.withColumn("cls", F.col("k"))
         if last:
             other = cls.select("bucket", F.col("k").alias("k2"), F.col("cls").alias("cls2"))
             pairs = cls.join(other, "bucket").where("cls < cls2").select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
