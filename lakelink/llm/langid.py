@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,11 +75,10 @@ def fit(train: DataFrame, bits: int = 15, alpha: float = 0.1, max_model_bytes: i
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
 
-    rows = train.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    rows = train.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.zeros((len(langs), 1 << bits))
-    if len(rows):
-        code = pd.Categorical(rows["lang"], categories=langs).codes
-        table[code, rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    code = {lang: i for i, lang in enumerate(langs)}
+    table[[code[x] for x in rows.column("lang").to_pylist()], rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     weights = np.log(table + alpha) - np.log(table.sum(1, keepdims=True) + alpha * (1 << bits))
     n = np.array([docs[x] for x in langs], float)
     return LanguageModel(langs, bits, weights.astype(np.float32), np.log(n / max(n.sum(), 1)))

@@ -183,14 +183,14 @@ def fit(stats: DataFrame, min_rows: int = 400, steps: int = 5) -> DataFrame:
     cols = [F.get("v", i) for i in range(P)]
     start = rows.join(sizes, "g").groupBy("g").agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, c in enumerate(cols)))
 
-    def first(frames):
-        for f in frames:
-            q = np.array([[*map(list, f.iloc[k, 1:])] for k in range(len(f))], float).reshape(len(f), P, 3)
+    def first(batches):
+        for f in batches:
+            q = np.array([f.column(f"q{i}").to_pylist() for i in range(P)], float).reshape(P, len(f), 3).transpose(1, 0, 2)
             spread = np.maximum((q[:, :, 2] - q[:, :, 0]) / 1.349, FLOORS)
-            yield _model(f["g"], q[:, :, 1], np.stack([np.diag(s**2) for s in spread]), np.ones(len(f)))
+            yield _model(f.column("g"), q[:, :, 1], spread[:, :, None] ** 2 * np.eye(P))
 
     schema = "g string, centre array<double>, inverse array<double>, scale double"
-    model = cut(start.mapInPandas(first, schema))
+    model = cut(start.mapInArrow(first, schema))
     pairs = [(i, j) for i in range(P) for j in range(i, P)]
     for step in range(steps + 1):
         d = rows.join(handed(model), "g").select("g", "v", distance(F.col("v"), F.col("centre"), F.col("inverse")).alias("d2"))
@@ -206,24 +206,23 @@ def fit(stats: DataFrame, min_rows: int = 400, steps: int = 5) -> DataFrame:
         inner = d.join(half, "g").where("bin <= edge")
         moments = inner.groupBy("g").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)), *(F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i, j in pairs))
 
-        def concentrate(frames):
-            for f in frames:
-                n = f["n"].to_numpy(float)
-                mean = f[[f"s{i}" for i in range(P)]].to_numpy(float) / n[:, None]
+        def concentrate(batches):
+            for f in batches:
+                n = f.column("n").to_numpy().astype(float)
+                mean = np.column_stack([f.column(f"s{i}").to_numpy() for i in range(P)]) / n[:, None]
                 cov = np.zeros((len(f), P, P))
                 for i, j in pairs:
-                    cov[:, i, j] = cov[:, j, i] = f[f"s{i}_{j}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
+                    cov[:, i, j] = cov[:, j, i] = f.column(f"s{i}_{j}").to_numpy() / n - mean[:, i] * mean[:, j]
                 cov += np.diag(FLOORS**2)
-                yield _model(f["g"], mean, cov, np.ones(len(f)))
+                yield _model(f.column("g"), mean, cov)
 
-        model = cut(moments.mapInPandas(concentrate, schema))
+        model = cut(moments.mapInArrow(concentrate, schema))
     return model
 
 
-def _model(g, centre: np.ndarray, cov: np.ndarray, scale: np.ndarray):
-    import pandas as pd
-
-    return pd.DataFrame({"g": g, "centre": list(centre), "inverse": [np.linalg.inv(c).ravel() for c in cov] if len(cov) else [], "scale": scale})
+def _model(g: pa.Array, centre: np.ndarray, cov: np.ndarray) -> pa.RecordBatch:
+    lists = pa.list_(pa.float64())
+    return pa.RecordBatch.from_arrays([g, pa.array(list(centre), lists), pa.array(list(np.linalg.inv(cov).reshape(len(cov), P * P)), lists), pa.array(np.ones(len(centre)))], ["g", "centre", "inverse", "scale"])
 
 
 def judge(stats: DataFrame, model: DataFrame, cutoff: float) -> DataFrame:
