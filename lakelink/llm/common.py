@@ -32,10 +32,23 @@ def prepare(spark: SparkSession) -> None:
         context.setCheckpointDir(folder)
 
 
+INFER = "spark.sql.constraintPropagation.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared checkpoint folder: a lost executor costs no recomputation."""
-    prepare(df.sparkSession)
-    return df.checkpoint()
+    """The same rows, read from the shared checkpoint folder: a lost executor costs no recomputation.
+
+    A checkpoint keeps the constraints that Spark has inferred of its plan. In loops that join a frame with
+    what follows from it they multiply, up to minutes of planning and the driver's memory; so none are inferred.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    before = spark.conf.get(INFER)
+    spark.conf.set(INFER, "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set(INFER, before)
 
 
 def stored(df: DataFrame) -> DataFrame:
