@@ -170,32 +170,49 @@ def repeats(docs: DataFrame, length: int = 35, gram: int = 10, max_bits: int = 1
     whose anchor has more than one kind of run; the places of what was found twice. Bit maps keep the passes
     from emitting what is single; equality of hashes decides.
     """
-    spark, texts = docs.sparkSession, docs.select("text")
+    spark = docs.sparkSession
     repeated = spark.sparkContext.broadcast(bit_map(cut(count_anchors(docs, length, gram)), max_bits))
 
     def count_runs(batches):
         for batch in batches:
-            for _, _, data, off in tb.slices(batch.column(0)):
-                _, _, _, _, a, ids = runs_of(tb.words(data, off), length, gram)
+            keys = batch.column(0).to_numpy()
+            for lo, _, data, off in tb.slices(batch.column(1)):
+                _, doc, _, _, a, ids = runs_of(tb.words(data, off), length, gram)
                 on = among(repeated.value, a)
-                yield tallied(a[on], ids[on])
+                yield pa.RecordBatch.from_arrays([long_array(a[on]), long_array(ids[on]), pa.array(keys[lo + doc[on]])], ["anchor", "id", "key"])
 
-    runs = cut(texts.mapInArrow(count_runs, "anchor long, id long, n int").groupBy("anchor", "id").agg(F.sum("n").alias("n")))
+    keyed = docs.select(key().alias("key"), "text")
+    runs = cut(keyed.mapInArrow(count_runs, "anchor long, id long, key long").groupBy("anchor", "id").agg(F.count("*").alias("n"), F.min("key").alias("key")))
     whole = runs.where("n > 1").select("anchor", "id")
     kinds = cut(runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"))
     # an anchor whose runs all are the same needs no look at single windows
     mixed = spark.sparkContext.broadcast(bit_map(kinds, max_bits))
     is_whole = spark.sparkContext.broadcast(bit_map(whole.select("id"), max_bits))
 
+    def leads(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([long_array(both(*(batch.column(i).to_numpy().view(np.uint64) for i in range(2))))], ["lead"])
+
+    def mistaken(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy().view(np.uint64)
+            yield pa.RecordBatch.from_arrays([long_array(ids[among(is_whole.value, ids)])], ["id"])
+
+    # of a run that occurs again one occurrence, its lead, shows its windows; single runs that the bit map
+    # takes for such are told from it by a bit map of their own
+    lead = spark.sparkContext.broadcast(bit_map(cut(runs.where("n > 1").select("id", "key").mapInArrow(leads, "lead long")), max_bits))
+    single = spark.sparkContext.broadcast(bit_map(cut(runs.where("n = 1").select("id").mapInArrow(mistaken, "id long")), max_bits))
+
     def count_windows(batches):
         for batch in batches:
-            for _, _, data, off in tb.slices(batch.column(0)):
-                h, _, first, n, a, _ = runs_of(tb.words(data, off), length, gram)
-                on = among(mixed.value, a)
-                _, _, anchor, ids = windows_of(h, first[on], n[on], a[on], length)
-                yield tallied(anchor, ids)
+            keys = batch.column(0).to_numpy().view(np.uint64)
+            for lo, _, data, off in tb.slices(batch.column(1)):
+                h, doc, first, n, a, ids = runs_of(tb.words(data, off), length, gram)
+                on = among(mixed.value, a) & (~among(is_whole.value, ids) | among(single.value, ids) | among(lead.value, both(ids, keys[lo + doc])))
+                _, _, anchor, wid = windows_of(h, first[on], n[on], a[on], length)
+                yield tallied(anchor, wid)
 
-    again = cut(texts.mapInArrow(count_windows, "anchor long, id long, n int").groupBy("anchor", "id").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "id"))
+    again = cut(keyed.mapInArrow(count_windows, "anchor long, id long, n int").groupBy("anchor", "id").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "id"))
     is_again = spark.sparkContext.broadcast(bit_map(again.select("id"), max_bits))
 
     def places(batches):
@@ -205,14 +222,14 @@ def repeats(docs: DataFrame, length: int = 35, gram: int = 10, max_bits: int = 1
                 w = tb.words(data, off)
                 h, doc, first, n, a, ids = runs_of(w, length, gram)
                 on = np.flatnonzero(among(is_whole.value, ids) & among(repeated.value, a))
-                part = np.flatnonzero(among(mixed.value, a))
+                part = np.flatnonzero(among(mixed.value, a) & (~among(is_whole.value, ids) | among(single.value, ids)))
                 run, at, anchor, wid = windows_of(h, first[part], n[part], a[part], length)
                 some = among(is_again.value, wid)
                 run, at, anchor, wid = part[run[some]], at[some], anchor[some], wid[some]
                 d = np.concatenate([doc[on], doc[run]])
                 yield pa.RecordBatch.from_arrays([long_array(np.concatenate([a[on], anchor])), long_array(np.concatenate([ids[on], wid])), pa.array(keys[lo + d]), pa.array((np.concatenate([first[on], at]) - w.first[d]).astype(np.int32)), pa.array(np.concatenate([n[on], np.ones(len(at), np.int64)]).astype(np.int32))], ["anchor", "id", "key", "first", "windows"])
 
-    found = docs.select(key().alias("key"), "text").mapInArrow(places, "anchor long, id long, key long, first int, windows int")
+    found = keyed.mapInArrow(places, "anchor long, id long, key long, first int, windows int")
     return found.join(whole.unionByName(again), ["anchor", "id"]).select("key", "first", "windows")
 
 
