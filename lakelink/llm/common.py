@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,12 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(INFER, before)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are over: it does when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like cut(), as compressed Parquet in the shared folder; for rows that carry texts."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import cut
+from .common import cut, release
 
 WORD_BITS = 15  # bits of an index within a shipped piece of the bit map
 ROW = 1 << 16
@@ -213,6 +213,7 @@ def repeats(docs: DataFrame, length: int = 35, gram: int = 10, max_bits: int = 1
                 yield tallied(anchor, wid)
 
     again = cut(keyed.mapInArrow(count_windows, "anchor long, id long, n int").groupBy("anchor", "id").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "id"))
+    release(spark)
     is_again = spark.sparkContext.broadcast(bit_map(again.select("id"), max_bits))
 
     def places(batches):
