@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf as tb
-from .common import cut, small, stored
+from .common import cut, release, small, stored
 
 U64 = np.uint64
 SLOTS, BAND_ROWS = 128, 5
@@ -208,6 +208,7 @@ def link(docs: DataFrame, threshold: float = 0.8, max_rounds: int = 16) -> tuple
     texts = stored(texts.groupBy("k").agg(F.min("text").alias("text")))
     edges = tried = None
     for r in range(max_rounds + 1):
+        release(docs.sparkSession)
         last = False
         if r:
             cls = member.join(labels, "k", "left").select("bucket", "k", F.coalesce("label", "k").alias("cls"))
