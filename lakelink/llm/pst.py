@@ -5,8 +5,10 @@ and an end mark. Runs of `depth` + 1 symbols are counted over all training texts
 follow by summation. A context is kept if its next-symbol distribution diverges from that of its suffix
 (count times Kullback-Leibler divergence of at least `gain` nats), or if a longer kept one needs it.
 Distributions are smoothed towards the suffix's (Witten-Bell), down to uniform. A symbol is scored in the
-state of the longest kept suffix of what precedes it. The tree is broadcast: where it has more than
-`max_rows` next-symbol counts, the divergence asked for is doubled until it fits.
+state of the longest kept suffix of what precedes it. The whole tree is broadcast, in parts of about
+`max_rows` next-symbol counts each: a part has the longer contexts that end in a range of two bytes, which
+each symbol's own context picks, and all contexts of less than two bytes. Any number of parts gives the same
+scores.
 
 Word counts are gathered for all training tokens as well, keyed by 64-bit word hashes; words above a count
 that at most `head` words reach are broadcast, the rest are joined by shuffling. A null text is empty, and
@@ -15,7 +17,8 @@ its only token is the end. With nothing to learn from, symbols are uniform.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -71,15 +74,16 @@ class Tree:
     pairs: list[tuple[np.ndarray, np.ndarray]]
     #: By context length: packed context, ascending, and log10 of the weight of its suffix.
     states: list[tuple[np.ndarray, np.ndarray]]
+    #: The last two bytes, as one number, of the contexts that the tree is whole for.
+    lo: int = 0
+    hi: int = 0xFFFF
 
     def score(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 probability of each document's symbols."""
-        full = codes(symbols, self.depth + 1)
-        idx = np.ones(len(symbols), bool)
-        for k in range(self.depth):
-            idx[first[:-1] + k] = False
-        idx = np.flatnonzero(idx)
-        value = np.zeros(len(symbols))
+        return score_symbols([self], symbols, first)
+
+    def fill(self, full: np.ndarray, idx: np.ndarray, value: np.ndarray) -> None:
+        """log10 probability of the last symbol of full[idx], each after the symbols before it."""
         for k in range(self.depth, -1, -1):
             if not len(idx):
                 break
@@ -92,7 +96,23 @@ class Tree:
             at, hit = _find(known, context)
             value[idx[hit]] += weight[at[hit]]
         value[idx] -= np.log10(256)
-        return tb.per_doc_sum(value, first)
+
+
+def score_symbols(parts: list[Tree], symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log10 probability of each document's symbols, each looked up in the part that has its context."""
+    depth = parts[0].depth
+    on = np.ones(len(symbols), bool)
+    for k in range(depth):
+        on[first[:-1] + k] = False
+    # equal runs have equal scores
+    full, inverse = np.unique(codes(symbols, depth + 1)[on], return_inverse=True)
+    ends = (full >> U64(8)) & U64(0xFFFF)
+    each = np.zeros(len(full))
+    for part in parts:
+        part.fill(full, np.flatnonzero((ends >= part.lo) & (ends <= part.hi)), each)
+    value = np.zeros(len(symbols))
+    value[on] = each[inverse]
+    return tb.per_doc_sum(value, first)
 
 
 def _find(known: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +166,8 @@ def low_bytes(n: str) -> Column:
     return F.expr(f"shiftleft(1L, cast(8 * ({n}) as int)) - 1")
 
 
-def grow(grams: DataFrame, depth: int, gain: float = 4.0, max_rows: int = 600_000) -> Tree:
-    """Count contexts of every length, keep those that diverge, and collect the bounded tree."""
+def grow(grams: DataFrame, depth: int, gain: float = 4.0, max_rows: int = 600_000) -> Iterator[Tree]:
+    """Count contexts of every length, keep those that diverge, and collect the tree part by part."""
     level = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("k")
     if not 0 <= depth <= 6:
         raise ValueError("contexts of 0 to 6 symbols are packed into 64 bits")
@@ -161,18 +181,26 @@ def grow(grams: DataFrame, depth: int, gain: float = 4.0, max_rows: int = 600_00
     term = F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("n_up") / F.col("total_up")))
     gains = p.where("k > 0").withColumn("suffix", cut_code).join(up, ["k", "suffix"]).groupBy("k", "context").agg(F.sum(term).alias("gain"), F.count("*").alias("rows"))
     gains = cut(gains)
-    while True:
-        kept = gains.where(F.col("gain") >= gain)
-        # suffixes of a kept context are kept
-        down = kept.select("context", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("j")).select(F.col("j").alias("k"), F.col("context").bitwiseAND(low_bytes("j")).alias("context")).distinct()
-        down = cut(down)
-        rows = p.join(down, ["k", "context"], "left_semi").unionByName(p.where("k = 0"))
-        if rows.count() <= max_rows:
-            break
-        gain *= 2
-    table = rows.select("k", "code", "n").toArrow()
-    k, code, n = (table.column(c).to_numpy() for c in ("k", "code", "n"))
-    return smooth(k.astype(np.int64), code.view(U64), n.astype(np.float64), depth)
+    kept = gains.where(F.col("gain") >= gain)
+    # suffixes of a kept context are kept
+    down = kept.select("context", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("j")).select(F.col("j").alias("k"), F.col("context").bitwiseAND(low_bytes("j")).alias("context")).distinct()
+    rows = cut(p.join(cut(down), ["k", "context"], "left_semi").unionByName(p.where("k = 0")).select("k", "code", "n", F.col("context").bitwiseAND(F.lit(0xFFFF)).alias("ends")))
+    for lo, hi in ranges(rows, max_rows):
+        table = rows.where((F.col("k") < 2) | F.col("ends").between(lo, hi)).select("k", "code", "n").toArrow()
+        k, code, n = (table.column(c).to_numpy() for c in ("k", "code", "n"))
+        yield replace(smooth(k.astype(np.int64), code.view(U64), n.astype(np.float64), depth), lo=lo, hi=hi)
+
+
+def ranges(rows: DataFrame, max_rows: int) -> list[tuple[int, int]]:
+    """Ranges that cover all pairs of last bytes, of at most `max_rows` rows each or a single pair."""
+    sizes = rows.where("k >= 2").groupBy("ends").count().toArrow()  # at most 65,536 rows
+    out, lo, held = [], 0, 0
+    for end, n in sorted(zip(sizes.column("ends").to_pylist(), sizes.column("count").to_pylist(), strict=True)):
+        if held and held + n > max_rows:
+            out.append((lo, end - 1))
+            lo, held = end, 0
+        held += n
+    return [*out, (lo, 0xFFFF)]
 
 
 def smooth(k: np.ndarray, code: np.ndarray, n: np.ndarray, depth: int) -> Tree:
@@ -221,22 +249,24 @@ def head_words(words: DataFrame, head: int) -> tuple[np.ndarray, np.ndarray]:
 def score(docs: DataFrame, train: DataFrame, keep: list[Column], depth: int = 5, gain: float = 4.0, max_rows: int = 600_000, head: int = 1 << 18) -> DataFrame:
     """The kept columns, n_tokens, n_known, train_tokens, base_score and score for each row."""
     words, grams = counted(train, depth)
-    tree = grow(grams, depth, gain, max_rows)
+    context = docs.sparkSession.sparkContext
+    parts = [context.broadcast(part) for part in grow(grams, depth, gain, max_rows)]
     n, v = (int(x or 0) for x in words.agg(F.sum("n"), F.count("*")).first())
     known, counts = head_words(words, head)
     floor = n + 0.5 * (v + 1)
-    held = docs.sparkSession.sparkContext.broadcast((tree, known, counts))
+    held = context.broadcast((known, counts))
     rows = docs.select(*keep, F.col("text").alias("__text"))
     names = rows.columns[:-1]
 
     def run(batches):
-        model, h, c = held.value
+        trees = [part.value for part in parts]
+        h, c = held.value
         log = np.log10((c + 0.5) / floor)
         for batch in batches:
             for lo, hi, data, off in tb.slices(batch.column(len(names))):
                 w = tb.words(tb.LOWER[data], off)
-                symbols, first = stream(w, model.depth)
-                total = model.score(symbols, first)
+                symbols, first = stream(w, depth)
+                total = score_symbols(trees, symbols, first)
                 hashes = np.insert(tb.word_hashes(w), w.first[1:], U64(END_WORD))
                 tokens = w.first + np.arange(hi - lo + 1)
                 at, hit = _find(h, hashes)

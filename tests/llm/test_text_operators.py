@@ -161,6 +161,16 @@ def test_tree_is_a_distribution():
         assert total == pytest.approx(1)
 
 
+def test_tree_in_parts_is_the_whole_tree(docs):
+    _, grams = pst.counted(docs, 3)
+    whole, parts = list(pst.grow(grams, 3)), list(pst.grow(grams, 3, max_rows=200))
+    assert len(whole) == 1 and len(parts) > 3
+    for k in range(2, 4):
+        assert sorted(np.concatenate([x.pairs[k][0] for x in parts]).tolist()) == whole[0].pairs[k][0].tolist()
+    scores = [bag(pst.score(docs, docs, [F.col("doc_id")], depth=3, max_rows=n).withColumn("s", F.round("score", 6)), "doc_id", "n_tokens", "s") for n in (200, 600_000)]
+    assert scores[0] == scores[1]
+
+
 def test_quality_base(docs, rows, empty):
     cols = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
     out = quality.assess(docs, min_rows=10)
