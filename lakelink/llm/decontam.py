@@ -2,14 +2,16 @@
 
 Words are runs of digits, ASCII letters (lower-cased) and non-ASCII characters. Each benchmark item gives
 its windows of n words; an item of fewer words, but not none, is one window. The 64-bit hashes of the
-windows are broadcast in blocks of at most `block` windows (one block unless the benchmark is large; more
-blocks mean more passes over the documents, whose hits are united). A hit is verified by comparing bytes.
+windows are broadcast in blocks of about `block` windows (one block unless the benchmark is large; more
+blocks mean more passes over the documents, which are written once with a key for each row, and whose hits
+are united by it before anything is cut). A hit is verified by comparing bytes.
 
 A null or wordless text has no hits; repeated items all count; items with null text or id give none.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +23,10 @@ from pyspark.sql import types as T
 from . import textbuf as tb
 from .common import stored
 
+#: Names that no column of the documents has.
+KEY, SPANS = "__row_key", "__row_spans"
+
+
 @dataclass
 class Windows:
     """Benchmark windows by length: sorted hashes, and for each the (words, item) pairs behind it."""
@@ -47,8 +53,8 @@ def hash_windows(windows: list[list[bytes]]) -> np.ndarray:
     return out
 
 
-def blocks(benchmark: DataFrame, n: int = 10, block: int = 1 << 20):
-    """Windows of the benchmark, at most `block` window rows at a time on the driver."""
+def blocks(benchmark: DataFrame, n: int = 10, block: int = 1 << 20) -> tuple[int, Iterator[Windows]]:
+    """The number of blocks, and the windows of each, about `block` window rows at a time on the driver."""
 
     def run(batches):
         for batch in batches:
@@ -60,13 +66,17 @@ def blocks(benchmark: DataFrame, n: int = 10, block: int = 1 << 20):
     parts = max(1, -(-count // block))
     if parts > 1:
         rows = stored(rows)
-    for k in range(parts):
-        part = rows if parts == 1 else rows.where(F.pmod(F.hash("hash"), F.lit(parts)) == k)
-        found = Windows()
-        for r in part.toLocalIterator():
-            found.behind.setdefault(r["size"], {}).setdefault(r["hash"], []).append((bytes(r["words"]), r["item"]))
-        found.hashes = {size: np.sort(np.array(list(x), np.int64).view(np.uint64)) for size, x in found.behind.items()}
-        yield found
+
+    def each():
+        for k in range(parts):
+            part = rows if parts == 1 else rows.where(F.pmod(F.hash("hash"), F.lit(parts)) == k)
+            found = Windows()
+            for r in part.toLocalIterator():
+                found.behind.setdefault(r["size"], {}).setdefault(r["hash"], []).append((bytes(r["words"]), r["item"]))
+            found.hashes = {size: np.sort(np.array(list(x), np.int64).view(np.uint64)) for size, x in found.behind.items()}
+            yield found
+
+    return parts, each()
 
 
 def hits(column: pa.Array, found: Windows):
@@ -104,23 +114,30 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[Column], n: int = 10,
     rows = docs.select(*keep, F.col("text").alias("__text"))
     names = rows.columns[:-1]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    parts, each = blocks(benchmark, n, block)
+    if parts > 1:
+        rows = stored(rows.withColumn(KEY, F.monotonically_increasing_id()))
     out = None
-    for found in blocks(benchmark, n, block):
+    for found in each:
         shared = docs.sparkSession.sparkContext.broadcast(found)
 
         def run(batches, shared=shared):
             for batch in batches:
                 held = list(hits(batch.column(len(names)), shared.value))
+                key = batch.columns[len(names) + 1 :]
                 cols = [pa.array([x[0] for x in held], pa.int64()), pa.array([x[1] for x in held], pa.list_(pa.int32())), pa.array([sorted(x[2]) for x in held], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *cols], [*names, "n_words", "hits", "items"])
-
-        if out is None:
-            out = rows.mapInArrow(run, f"{kept}, n_words long, hits array<int>, items array<string>")
-        else:
-            key = [F.col(f"`{c}`") for c in names]
-            other = rows.mapInArrow(run, f"{kept}, n_words long, hits array<int>, items array<string>")
-            out = out.unionByName(other).groupBy(*key, "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return out
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *cols, *key], [*names, "n_words", "hits", "items", *[KEY] * len(key)])
+
+        one = rows.mapInArrow(run, f"{kept}, n_words long, hits array<int>, items array<string>" + (f", {KEY} long" if parts > 1 else ""))
+        out = one if out is None else out.unionByName(one)
+    if parts == 1:
+        return out
+    same = [F.first(F.col(f"`{c}`")).alias(c) for c in [*names, "n_words"]]
+    return out.groupBy(KEY).agg(*same, united("hits"), united("items")).drop(KEY)
+
+
+def united(name: str) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(name)))).alias(name)
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -140,38 +157,77 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "docum
     """
     if mode not in ("document", "span"):
         raise ValueError(f"unknown mode {mode!r}")
-    schema = docs.schema
+    parts, each = blocks(benchmark, n, block)
+    if mode == "span" and parts > 1:
+        return clean_spans(docs, each)
     out = docs
-    for found in blocks(benchmark, n, block):
+    at = docs.columns.index("text")
+    for found in each:
         shared = docs.sparkSession.sparkContext.broadcast(found)
-        at = out.columns.index("text")
-        chars = out.columns.index("n_chars") if "n_chars" in out.columns else -1
 
-        def run(batches, shared=shared, at=at, chars=chars):
+        def run(batches, shared=shared):
             for batch in batches:
                 held = list(hits(batch.column(at), shared.value))
                 if mode == "document":
                     yield batch.filter(pa.array([not len(x[1]) for x in held], pa.bool_()))
-                    continue
-                if any(len(x[1]) for x in held):
-                    texts = batch.column(at).to_pylist()
-                    sizes = batch.column(chars).to_pylist() if chars >= 0 else []
-                    for i, x in enumerate(held):
-                        if len(x[1]):
-                            texts[i] = cut_words(texts[i], x[3], x[4])
-                            if sizes:
-                                sizes[i] = len(texts[i])
-                    cols = list(batch.columns)
-                    cols[at] = pa.array(texts, batch.schema.field(at).type)
-                    if sizes:
-                        cols[chars] = pa.array(sizes, batch.schema.field(chars).type)
-                    batch = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
-                yield batch
-
-        out = out.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields]))
+                else:
+                    yield without(batch, [(x[3], x[4]) for x in held])
+
+        out = out.mapInArrow(run, nullable(docs))
     return out
 
 
+def nullable(docs: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
+
+
+def without(batch: pa.RecordBatch, spans: list) -> pa.RecordBatch:
+    """The batch with the words at these byte spans, (starts, ends) of each row, cut out of its texts."""
+    if not any(len(start) for start, _ in spans):
+        return batch
+    names = batch.schema.names
+    at = names.index("text")
+    chars = names.index("n_chars") if "n_chars" in names else -1
+    texts = batch.column(at).to_pylist()
+    sizes = batch.column(chars).to_pylist() if chars >= 0 else []
+    for i, (start, end) in enumerate(spans):
+        if len(start):
+            texts[i] = cut_words(texts[i], start, end)
+            if sizes:
+                sizes[i] = len(texts[i])
+    cols = list(batch.columns)
+    cols[at] = pa.array(texts, batch.schema.field(at).type)
+    if sizes:
+        cols[chars] = pa.array(sizes, batch.schema.field(chars).type)
+    return pa.RecordBatch.from_arrays(cols, schema=batch.schema)
+
+
+def clean_spans(docs: DataFrame, each: Iterator[Windows]) -> DataFrame:
+    """Hit words of all blocks, found in the texts as they are, and then cut out at once."""
+    rows = stored(docs.withColumn(KEY, F.monotonically_increasing_id()))
+    out = None
+    for found in each:
+        shared = docs.sparkSession.sparkContext.broadcast(found)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                held = [(k, x) for k, x in zip(batch.column(0).to_pylist(), hits(batch.column(1), shared.value), strict=True) if len(x[1])]
+                cols = [pa.array([k for k, _ in held], pa.int64()), pa.array([[{"a": int(a), "b": int(b)} for a, b in zip(x[3], x[4], strict=True)] for _, x in held], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))]
+                yield pa.RecordBatch.from_arrays(cols, [KEY, SPANS])
+
+        one = rows.select(KEY, "text").mapInArrow(run, f"{KEY} long, {SPANS} array<struct<a: bigint, b: bigint>>")
+        out = one if out is None else out.unionByName(one)
+    names = docs.columns
+
+    def cut_out(batches):
+        for batch in batches:
+            spans = [(np.array([y["a"] for y in x or ()], np.int64), np.array([y["b"] for y in x or ()], np.int64)) for x in batch.column(len(names)).to_pylist()]
+            yield without(pa.RecordBatch.from_arrays(batch.columns[: len(names)], names), spans)
+
+    joined = rows.join(out.groupBy(KEY).agg(united(SPANS)), KEY, "left").select(*(F.col(f"`{c}`") for c in names), SPANS)
+    return joined.mapInArrow(cut_out, nullable(docs))
+
+
 def cut_words(text: str, start: np.ndarray, end: np.ndarray) -> str:
     """The text without the words at these byte spans; neighbouring hit words go with what is between."""
     raw, out, pos, i = text.encode(), [], 0, 0

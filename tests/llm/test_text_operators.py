@@ -118,6 +118,21 @@ def test_decontamination_in_blocks(spark):
     assert got == [(1, 4, 2), (2, 1, 1)]
 
 
+def test_decontamination_of_repeated_rows_in_blocks(spark, docs, rows):
+    """Rows that repeat or miss an id keep their own results, and cuts do not hide words from later blocks."""
+    words = rows[4][1].split()
+    items = [(1, " ".join(words[5:17])), (2, " ".join(rows[3][1].split()[:11])), (3, "no id but words here no id but words here")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    same = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(7, "one clean text"), (7, "two words words"), (None, "p q r"), (None, "s t u")], "doc_id long, text string"))
+    bench = bench.unionByName(spark.createDataFrame([(4, "two words words"), (5, "p q r")], bench.schema))
+    cols = "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    scan = lambda n: bag(decontam.digest(decontam.scan(same, bench, [F.col("doc_id")], block=n)), *cols)
+    assert len(scan(3)) == len(rows) + 4 and scan(3) == scan(1 << 20)
+    for mode in ("document", "span"):
+        one, many = (bag(decontam.clean(docs, bench, mode=mode, block=n), *docs.columns) for n in (1 << 20, 3))
+        assert one == many
+
+
 @pytest.mark.parametrize("length,gram", [(35, 10), (6, 3)])
 def test_substrings(docs, rows, empty, length, gram):
     got = bag(substring.dedup(docs, length, gram).withColumn("h", F.sha2("kept", 256)), "doc_id", "n_words", "n_removed", "h")
