@@ -76,7 +76,7 @@ def raw_table(html: pa.Array) -> pa.Array:
 
 def is_index(values: Column, blank: bool = False) -> Column:
     """Whether the values are 0, 1, 2, ...; blank allows an empty corner first."""
-    v = F.when((F.size(values) > 0) & (F.trim(F.get(values, 0)) == ""), F.slice(values, 2, 1_000_000)).otherwise(values) if blank else values
+    v = F.when((F.size(values) > 0) & (F.trim(F.get(values, 0)) == ""), F.slice(values, 2, F.size(values))).otherwise(values) if blank else values
     digits = F.forall(v, lambda x: x.rlike(r"^\d{1,9}$"))
     counted = F.transform(v, lambda x: x.cast("int")) == F.sequence(F.lit(0), F.size(v) - 1)
     return F.coalesce(F.when((F.size(v) > 0) & digits, counted), F.lit(False))
@@ -84,9 +84,9 @@ def is_index(values: Column, blank: bool = False) -> Column:
 
 def without_index(rows: Column) -> Column:
     """The rows without an index header, then without an index column."""
-    body = F.when((F.size(rows) > 0) & is_index(F.get(rows, 0), blank=True), F.slice(rows, 2, 1_000_000)).otherwise(rows)
+    body = F.when((F.size(rows) > 0) & is_index(F.get(rows, 0), blank=True), F.slice(rows, 2, F.size(rows))).otherwise(rows)
     first = F.transform(F.filter(body, lambda r: F.size(r) > 0), lambda r: r[0])
-    return F.when(is_index(first), F.transform(body, lambda r: F.slice(r, 2, 1_000_000))).otherwise(body)
+    return F.when(is_index(first), F.transform(body, lambda r: F.slice(r, 2, F.size(r)))).otherwise(body)
 
 
 def markdown(rows: Column) -> Column:

@@ -102,7 +102,7 @@ def table_markdown(spark, d):
 def drop_index_rowcol(spark, d):
     raw = html.raw_table(F.col("table_html"))
     rows = region_tables(spark, d).withColumn("raw", raw)
-    column = F.transform(F.slice("raw", 2, 1000), lambda r: r[0])
+    column = F.transform(F.slice("raw", 2, F.size("raw")), lambda r: r[0])
     return rows.select("region", F.size("table_data").alias("n_rows"), F.size(F.get("table_data", F.lit(0))).alias("n_cols"), html.is_index(F.get("raw", F.lit(0)), blank=True).alias("header_is_index"), html.is_index(column).alias("column_is_index"))
 
 

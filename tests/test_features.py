@@ -107,3 +107,7 @@ def test_jsonl(spark, tmp_path):
     tables.write_jsonl(df, str(tmp_path / "out"))
     tables.append_jsonl(df, str(tmp_path / "out"))
     assert tables.read_jsonl(spark, str(tmp_path / "out")).count() == 4
+
+
+def test_no_fixed_length_cuts_long_tables(spark):
+    assert "1000000" not in str(html.without_index(F.col("t")))
