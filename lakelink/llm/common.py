@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -25,11 +26,20 @@ def remainder(col: str | Column, modulus: int) -> Column:
     return F.crc32(col.cast("string")) % modulus
 
 
+#: Shuffle files go at the end of the query that wrote them, not when the driver happens to collect garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Make sure that checkpoints go to the shared folder the cluster names."""
+    """Make sure that checkpoints go to the shared folder the cluster names; only a local master may do without."""
     context = attach(spark).sparkContext
+    spark.conf.set(TIDY, "true")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="checkpoint-")
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(folder)
 
 
@@ -59,12 +69,23 @@ def release(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like cut(), as compressed Parquet in the shared folder; for rows that carry texts."""
+    """Like cut(), as compressed Parquet in the shared folder, which goes when the session ends."""
     spark = df.sparkSession
     prepare(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, or one made from it, that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -7,13 +7,16 @@ process of points with a signature slot and a level; points above the weight are
 its least point, so two signatures agree in a slot with the probability of the weighted Jaccard similarity.
 Points come in ascending order and stop once no slot can change.
 
-Texts with the same multiset count once. Bands of the signature give buckets. In rounds, each bucket with
-more than one class compares its members with one of them by exact overlap (sum of minima over sum of
-maxima); classes that are linked are united. Links still untried are counted, and once they are few compared
-to the members, or `max_rounds` have passed, all of them are tried: no candidate is left out.
-
-Results: every row has the class_id, the least doc_id of its class. Texts without a word (null, empty) are
-classes of their own. Rows that repeat id and text count as copies.
+Texts with the same multiset count once. Bands of the signature give buckets. Each bucket's least member is
+compared with the others by exact overlap (sum of minima over sum of maxima), and classes that are linked are
+united. Buckets that still hold more than one class are compared whole: large ones in blocks of about `block`
+members or `block_bytes` bytes, each pair of blocks a task, which hands on a spanning set of the links and no
+pairs. Every pair of classes that meet in a bucket is compared; there is no cap on members or partners.
+
+Results: every row has the class_id, the least doc_id of its class (null if none has an id). A text without a
+word is in a class with its exact copies; null and empty texts are classes of their own. Rows that repeat id
+and text count as copies; a text of any length is used whole, and where a class has ties the least id, then the
+least key stands for it. An empty table gives no rows. Other columns of the documents may have any name.
 """
 
 from __future__ import annotations
@@ -26,12 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf as tb
-from .common import cut, release, small, stored
+from .common import free, small, stored
 
 U64 = np.uint64
 SLOTS, BAND_ROWS = 128, 5
 BANDS = SLOTS // BAND_ROWS
 SHINGLE = 5
+#: Rows of two or three numbers that may be broadcast: some 10 MB.
+PLAIN_ROWS = 400_000
 
 
 def elements(w: tb.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,27 +103,33 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def multiset_keys(docs: int, doc: np.ndarray, shingle: np.ndarray, count: np.ndarray) -> list[str | None]:
-    """128 bits of each document's multiset; null without words."""
-    at = np.searchsorted(doc, np.arange(docs + 1))
-    return [xxhash.xxh3_128_hexdigest(shingle[a:b].tobytes() + count[a:b].tobytes()) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
+def text_keys(data: np.ndarray, raw: np.ndarray, off: np.ndarray) -> tuple[list[str | None], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """128 bits of each text's multiset, or of its bytes where it has no word; null if empty. And the elements."""
+    found = elements(tb.words(data, off, tb.ALNUM))
+    doc, shingle, count = found
+    at = np.searchsorted(doc, np.arange(len(off)))
+    keys = []
+    for d, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        if b > a:
+            keys.append(xxhash.xxh3_128_hexdigest(shingle[a:b].tobytes() + count[a:b].tobytes()))
+        else:
+            keys.append("=" + xxhash.xxh3_128_hexdigest(raw[off[d] : off[d + 1]].tobytes()) if off[d + 1] > off[d] else None)
+    return keys, found
 
 
 def keys_of(column: pa.Array) -> list[str | None]:
-    return [k for lo, hi, data, off in tb.slices(column) for k in multiset_keys(hi - lo, *elements(tb.words(tb.LOWER[data], off, tb.ALNUM)))]
+    return [k for _, _, data, off in tb.slices(column) for k in text_keys(tb.LOWER[data], data, off)[0]]
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, key (128 bits of the shingle multiset, null without words), bands."""
+    """doc_id, key (128 bits of the shingle multiset, null for an empty text), bands (none without words)."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, off in tb.slices(batch.column(1)):
-                w = tb.words(tb.LOWER[data], off, tb.ALNUM)
-                doc, shingle, count = elements(w)
-                keys = multiset_keys(hi - lo, doc, shingle, count)
+                keys, (doc, shingle, count) = text_keys(tb.LOWER[data], data, off)
                 b = bands(signatures(hi - lo, doc, shingle, count))
-                has = np.array([k is not None for k in keys])
+                has = np.diff(np.searchsorted(doc, np.arange(hi - lo + 1))) > 0
                 offs = np.concatenate([[0], np.cumsum(has * BANDS)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(keys, pa.string()), tb.list_array(offs, b[has].ravel(), pa.int64())], ["doc_id", "key", "bands"])
 
@@ -163,83 +174,113 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(k, label): the least node of each connected component, by label exchange and pointer jumps."""
-    edges = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(edges.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("label")))
-    back = edges.withColumnRenamed("a", "k")
+    """(k, label): the least node of each connected component, by label exchange and pointer jumps.
+
+    Each round reads written tables, so that all rounds have plans of the same size.
+    """
+    ends = [edges.select(F.col(x).alias("k"), F.col(y).alias("other")) for x, y in ("ab", "ba", "aa", "bb")]
+    near = stored(ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct())  # each node is near itself
+    labels = stored(near.groupBy("k").agg(F.min("other").alias("label")))
+    n = labels.count()
     while True:
-        step = labels
-        for _ in range(2):  # two exchanges for each look at whether anything changed
-            near = back.join(step.withColumnRenamed("k", "b"), "b").groupBy("k").agg(F.min("label").alias("near"))
-            step = step.join(near, "k").select("k", F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("k").alias("label"), F.col("label").alias("far"))
-        step = step.join(jump, "label", "left").select("k", F.least("label", "far").alias("label"))
-        step = cut(step.join(labels.withColumnRenamed("label", "old"), "k").select("k", "old", "label"))
+        told = near.join(small(labels.select(F.col("k").alias("other"), "label"), n, PLAIN_ROWS), "other")
+        told = told.groupBy("k").agg(F.min("label").alias("label"), F.min(F.when(F.col("other") == F.col("k"), F.col("label"))).alias("old"))
+        jump = small(labels.select(F.col("k").alias("label"), F.col("label").alias("far")), n, PLAIN_ROWS)
+        step = stored(told.join(jump, "label").select("k", "old", F.col("far").alias("label")))
         changed = step.where("label <> old").limit(1).count()
         labels = step.select("k", "label")
         if not changed:
             return labels
 
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """(bucket, k) of the buckets with more than one key."""
-    member = keys.select("k", F.explode("bands").alias("bucket"))
-    full = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    return cut(member.join(full, "bucket").select("bucket", "k"))
-
-
-def link(docs: DataFrame, threshold: float = 0.8, max_rounds: int = 16) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, key), keys (k, key, doc_id: the least) and labels (k, label) of linked keys."""
+def compare(threshold: float):
+    """A function of one group of block members that gives links (a, b) between classes, at most one less than there are."""
+
+    def links(group: pa.Table) -> pa.Table:
+        group = group.sort_by("k").combine_chunks()
+        bucket, lo, hi = (group.column(c)[0].as_py() for c in ("bucket", "lo", "hi"))
+        m = group.num_rows
+        block, cls = group.column("block").to_numpy(), group.column("cls").to_numpy()
+        signature = np.array(group.column("bands").to_pylist(), np.int64)
+        band = int(np.flatnonzero(signature[0] == bucket)[0])
+        texts = group.column("text").combine_chunks()
+        owner, shingle, count = [], [], []
+        for at, _, data, off in tb.slices(texts):
+            d, x, n = elements(tb.words(tb.LOWER[data], off, tb.ALNUM))
+            owner.append(d + at)
+            shingle.append(x)
+            count.append(n)
+        owner, count = np.concatenate(owner), np.concatenate(count)
+        of = np.unique(np.concatenate(shingle), return_inverse=True)[1]
+        own = np.searchsorted(owner, np.arange(m + 1))
+        order = np.argsort(of, kind="stable")
+        by_owner, by_count = owner[order], count[order]
+        begin = np.searchsorted(of[order], np.arange(int(of.max(initial=-1)) + 2))
+        size = np.bincount(owner, count, minlength=m)
+        now, out = cls.copy(), []
+        for i in range(m):
+            other = np.zeros(m, bool)
+            other[i + 1 :] = True
+            if lo != hi:
+                other &= block != block[i]
+            other &= (now != now[i]) & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]))
+            # a pair that met in an earlier band is compared there
+            other &= ~(signature[:, :band] == signature[i, :band]).any(1)
+            if not other.any():
+                continue
+            mine = slice(own[i], own[i + 1])
+            a, b = begin[of[mine]], begin[of[mine] + 1]
+            n = b - a
+            at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            common = np.bincount(by_owner[at], np.minimum(np.repeat(count[mine], n), by_count[at]), minlength=m)
+            for j in np.flatnonzero(other & (common >= threshold * (size + size[i] - common))):
+                if now[j] != now[i]:
+                    out.append((cls[i], cls[j]))
+                    now[now == now[j]] = now[i]
+        return pa.table([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(y) for _, y in out], pa.int64())], ["a", "b"])
+
+    return links
+
+
+def link(docs: DataFrame, threshold: float = 0.8, block: int = 256, block_bytes: int = 8 << 20) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key), and keys (key, doc_id: the least, label: the least k of the class)."""
     docs = docs.select("doc_id", "text")
-    rows = cut(sketch(docs))
-    keys = cut(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")).withColumn("k", F.monotonically_increasing_id()))
-    member = candidates(keys)
-    want = cut(member.select("k").distinct().join(keys.select("k", "key", "doc_id"), "k"))
-    n, nameless = want.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
-    labels = want.select("k", F.col("k").alias("label")).limit(0)
-    rows, keys = rows.select("doc_id", "key"), keys.select("k", "key", "doc_id")
+    rows = stored(sketch(docs))
+    keys = stored(rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")).withColumn("k", F.monotonically_increasing_id()))
+    rows, lone = rows.select("doc_id", "key"), keys.select("key", "doc_id", F.col("k").alias("label"))
+    each = keys.select("k", F.explode("bands").alias("bucket"))
+    full = stored(each.groupBy("bucket").agg(F.count("*").alias("n"), F.min("k").alias("rep")).where("n > 1").select("bucket", "rep"))
+    n = full.count()
     if not n:
-        return rows, keys, labels
-    # texts of the candidates: by the id first, then by the key that the text gives, as an id may repeat
+        return rows, lone
+    member = stored(each.join(small(full, n, PLAIN_ROWS), "bucket").select("bucket", "k", "rep"))
+    want = stored(member.select("k").distinct().join(keys, "k"))
+    texts = candidate_texts(docs, want)
+    # each bucket's least member against the others
+    pairs = member.where("k <> rep").select(F.col("rep").alias("a"), F.col("k").alias("b")).distinct()
+    labels = components(stored(verified(pairs, texts, threshold)))
+    # buckets that still hold more than one class are compared whole, in blocks
+    count = labels.count()
+    of = member.join(small(labels, count, PLAIN_ROWS), "k", "left").select("bucket", "k", F.coalesce("label", "k").alias("cls"))
+    sized = stored(of.join(texts.select("k", F.octet_length("text").alias("size")), "k"))
+    mixed = stored(sized.groupBy("bucket").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("least <> most").select("bucket", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / block_bytes)).cast("int").alias("blocks")))
+    part = sized.drop("size").join(small(mixed, mixed.count(), PLAIN_ROWS), "bucket").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    part = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "k", "cls")
+    more = stored(part.join(texts, "k").groupBy("bucket", "lo", "hi").applyInArrow(compare(threshold), "a long, b long"))
+    again = components(more).select(F.col("k").alias("label"), F.col("label").alias("cls"))
+    known = keys.select("key", "doc_id", "k").join(small(labels, count, PLAIN_ROWS), "k", "left").select("key", "doc_id", F.coalesce("label", "k").alias("label"))
+    known = known.join(small(again, again.count(), PLAIN_ROWS), "label", "left").select("key", "doc_id", F.coalesce("cls", "label").alias("label"))
+    return rows, stored(known)
+
+
+def candidate_texts(docs: DataFrame, want: DataFrame) -> DataFrame:
+    """(k, bands, text) of the wanted keys: found by the id, then by the key that the text gives, as an id may repeat."""
+    n, nameless = want.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     some = docs.join(small(want.select("doc_id").where("doc_id is not null").distinct(), n), "doc_id", "left_semi")
     if nameless:
         some = some.unionByName(docs.where("doc_id is null"))
-    texts = named(some).join(small(want.select("k", "key"), n), "key").select("k", "text")
-    texts = stored(texts.groupBy("k").agg(F.min("text").alias("text")))
-    edges = tried = None
-    for r in range(max_rounds + 1):
-        release(docs.sparkSession)
-        last = False
-        if r:
-            cls = member.join(labels, "k", "left").select("bucket", "k", F.coalesce("label", "k").alias("cls"))
-            size = cls.groupBy("bucket", "cls").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count("*").alias("kinds")).where("kinds > 1")
-            # only buckets that still hold more than one class go on
-            cls = cut(cls.join(size, "bucket"))
-            member = cls.select("bucket", "k")
-            each = (F.col("n") * F.col("n") - F.col("same")) / 2 / F.col("n")
-            rest, work = cls.agg(F.count("*"), F.sum(each)).first()
-            if not rest:
-                break
-            last = work <= 4 * rest or r == max_rounds
-            cls = cls.select("bucket", "k", "cls")
-        else:
-            cls = member.withColumn("cls", F.col("k"))
-        if last:
-            other = cls.select("bucket", F.col("k").alias("k2"), F.col("cls").alias("cls2"))
-            pairs = cls.join(other, "bucket").where("cls < cls2").select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
-        else:
-            chosen = cls.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("k", F.lit(r)).alias("h"), F.col("k").alias("k2"), F.col("cls").alias("cls2"))).alias("rep")).select("bucket", "rep.k2", "rep.cls2")
-            pairs = cls.join(chosen, "bucket").where("cls <> cls2").select(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).distinct()
-        pairs = cut(pairs)
-        fresh = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        found = cut(verified(fresh, texts, threshold))
-        if found.limit(1).count():
-            edges = found if edges is None else edges.unionByName(found)
-            labels = components(edges)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if last:
-            break
-    return rows, keys, labels
+    texts = named(some).join(small(want.select("k", "key"), n), "key").groupBy("k").agg(F.min("text").alias("text"))
+    return stored(texts.join(want.select("k", "bands"), "k"))
 
 
 def named(docs: DataFrame) -> DataFrame:
@@ -252,39 +293,38 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key string, text string").where("key is not null")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, key, class_id for each row."""
-    rows, keys, labels = link(docs, threshold)
-    known = keys.join(labels, "k", "left").select("key", "doc_id", F.coalesce("label", "k").alias("label"))
-    least = known.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    by_key = known.join(least, "label").select("key", "label", "class_id")
-    return rows.join(by_key, "key", "left").select("doc_id", "key", "label", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+def classes(docs: DataFrame, threshold: float = 0.8, **how) -> DataFrame:
+    """doc_id, key, label and class_id for each row; key and label are null for an empty text."""
+    rows, known = link(docs, threshold, **how)
+    least = stored(known.groupBy("label").agg(F.min("doc_id").alias("class_id")))
+    by_key = stored(known.join(least, "label").select("key", "label", "class_id"))
+    # empty texts stay out of the join: their key is null, and all would meet in one task
+    alone = rows.where("key is null").select("doc_id", "key", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("class_id"))
+    return rows.where("key is not null").join(small(by_key, by_key.count()), "key").select("doc_id", "key", "label", "class_id").unionByName(alone)
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row of each class (the least id, then text), with all of its columns; wordless texts all stay."""
-    found = cut(classes(docs, threshold))
-    # a row stays if it has its class's least id; of rows with the same id and class one stays
-    lead = cut(found.where("key is not null and doc_id <=> class_id").groupBy("doc_id", "label").agg(F.count("*").alias("n")))
-    twice = lead.where("n > 1").limit(1).count() > 0
-    gone = cut(found.where("key is not null and not (doc_id <=> class_id)").select("doc_id").where("doc_id is not null").distinct())
-    n = gone.count()
-    plain = lead.groupBy("doc_id").agg(F.count("*").alias("k")).join(gone, "doc_id").limit(1).count() == 0 and not twice and not found.where("doc_id is null").limit(1).count()
-    if plain:
+    """One row of each class (the least id, then key), with all of its columns; empty texts all stay."""
+    found = stored(classes(docs, threshold))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    if not found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count():
         # ids tell rows apart: drop those of the other members
-        return docs.join(small(gone, n), "doc_id", "left_anti").select(*docs.columns)
-    keyed = with_key(docs)
-    best = found.where("key is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.key").alias("__k"))
-    one = keyed.join(best, F.col("__key").eqNullSafe(F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["__key"])
-    return one.unionByName(keyed.where("__key is null")).select(*docs.columns)
-
-
-def with_key(docs: DataFrame) -> DataFrame:
-    """All columns, and __key."""
+        gone = found.where("key is not null and doc_id <> class_id").select("doc_id")
+        return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*names)
+    # else the rows of each class's least id and key, one of those that are the same
+    key = free(docs, "row_key")
+    keyed = with_key(docs, key)
+    best = found.where("key is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m")).select(F.col("m.doc_id").alias("best_id"), F.col("m.key").alias("best_key"))
+    one = keyed.join(best, F.col(f"`{key}`").eqNullSafe(F.col("best_key")) & keyed["doc_id"].eqNullSafe(F.col("best_id")), "left_semi").dropDuplicates([key])
+    return one.unionByName(keyed.where(f"`{key}` is null")).select(*names)
+
+
+def with_key(docs: DataFrame, key: str) -> DataFrame:
+    """All columns, and the key of the text under this name."""
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys_of(batch.column(at)), pa.string())], [*batch.schema.names, "__key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys_of(batch.column(at)), pa.string())], [*batch.schema.names, key])
 
-    return docs.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema.fields), T.StructField("__key", T.StringType(), True)]))
+    return docs.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema.fields), T.StructField(key, T.StringType(), True)]))

@@ -101,7 +101,7 @@ def shingles(text: str | None) -> Counter:
 
 def near_classes(docs: list[tuple], threshold: float = 0.8) -> dict:
     """Least id of each row's class, by all pairs."""
-    s = [shingles(t) for _, t in docs]
+    s = [shingles(t) or Counter([t] if t else []) for _, t in docs]  # without a word: the text itself
     parent = list(range(len(docs)))
 
     def root(i):

@@ -218,6 +218,48 @@ def test_near_duplicates(docs, rows, empty):
     assert neardup.classes(empty).count() == 0 and neardup.dedup(empty).count() == 0
 
 
+def varied(rng: random.Random, text: str, rate: float) -> str:
+    return " ".join(prose(rng, 1) if rng.random() < rate else w for w in text.split(" "))
+
+
+def near_classes_of(df, **how):
+    return {r.doc_id: r.class_id for r in neardup.classes(df, **how).collect()}
+
+
+def test_near_duplicates_in_large_groups_and_chains(spark):
+    """Near copies of one text and chains of copies of copies, in blocks of any size, against all pairs."""
+    rng = random.Random(12)
+    base, chain = prose(rng, 120), [prose(rng, 150)]
+    for _ in range(12):
+        chain.append(varied(rng, chain[-1], 0.025))
+    texts = [varied(rng, base, rng.choice([0.01, 0.03, 0.05])) for _ in range(60)] + chain + [prose(rng, 80) for _ in range(20)]
+    texts += ["!!! ???", "!!! ???", "### !!!", "", "", None, None]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    want = brute.near_classes([*enumerate(texts)])
+    alone = {i: i if not t else want[i] for i, t in enumerate(texts)}
+    assert len({want[i] for i in range(60)}) > 1  # not all of the group hang together
+    for how in ({}, {"block": 4}, {"block_bytes": 1500}):
+        assert near_classes_of(df, **how) == alone
+    kept = {r.doc_id for r in neardup.dedup(df).collect()}
+    assert kept == set(alone.values())
+
+
+def test_near_duplicates_recall_of_pairs_at_the_threshold(spark):
+    """Pairs at a similarity of 0.8 to 0.85 are found; pairs below 0.8 are not linked."""
+    rng = random.Random(13)
+    texts = []
+    for _ in range(150):
+        t = prose(rng, 100)
+        texts += [t, varied(rng, t, 0.018)]
+    near = []
+    for i in range(0, 300, 2):
+        a, b = brute.shingles(texts[i]), brute.shingles(texts[i + 1])
+        near.append(sum((a & b).values()) / sum((a | b).values()))
+    got = near_classes_of(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"))
+    assert sum(0.8 <= s < 0.9 for s in near) > 30 and sum(s < 0.8 for s in near) > 10
+    assert [got[2 * i] == got[2 * i + 1] for i in range(150)] == [s >= 0.8 for s in near]
+
+
 def test_signatures_estimate_weighted_overlap():
     rng = np.random.default_rng(4)
     n, slots = 60, 2048
