@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -16,8 +15,13 @@ from ..session import attach
 BROADCAST_ROWS = 50_000
 
 
+#: Shuffle files go at the end of the query that wrote them, not when the driver happens to collect garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return attach(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    attach(spark).conf.set(TIDY, "true")
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def remainder(col: str | Column, modulus: int) -> Column:
@@ -26,10 +30,6 @@ def remainder(col: str | Column, modulus: int) -> Column:
     return F.crc32(col.cast("string")) % modulus
 
 
-#: Shuffle files go at the end of the query that wrote them, not when the driver happens to collect garbage.
-TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def prepare(spark: SparkSession) -> None:
     """Make sure that checkpoints go to the shared folder the cluster names; only a local master may do without."""
     context = attach(spark).sparkContext
@@ -62,12 +62,6 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(INFER, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps that are over: it does when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Like cut(), as compressed Parquet in the shared folder, which goes when the session ends."""
     spark = df.sparkSession

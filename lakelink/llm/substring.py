@@ -8,21 +8,22 @@ runs differ, each window of the run is compared by its hash, among the occurrenc
 found twice are joined into maximal repeats, whose words are removed.
 
 No pairs are made: occurrences of an anchor are counted and meet by hash. A run is identified by its
-anchor's and its own 64-bit hash. The anchors that occur again are handed out as a bit map of bounded size
-(`max_bits`) that may let single ones through but loses none, and so are runs and windows found again. Texts under `length` words, empty and null
-ones have no window. Rows that repeat as a whole repeat their windows and lose them all.
+anchor's and its own 64-bit hash, a row by 128 bits of its id and text. The anchors that occur again are handed
+out as a bit map of bounded size (`max_bits`) that may let single ones through but loses none, and so are runs
+and windows found again, and rows with repeats. Texts under `length` words, empty and null ones have no window
+and stay as they are; ids may be null. Rows that repeat as a whole repeat their windows and lose them all. Long
+texts are whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf as tb
-from .common import cut, release
+from .common import cut
 
 WORD_BITS = 15  # bits of an index within a shipped piece of the bit map
 ROW = 1 << 16
@@ -176,12 +177,12 @@ def repeats(docs: DataFrame, length: int = 35, gram: int = 10, max_bits: int = 1
     def count_runs(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            for lo, _, data, off in tb.slices(batch.column(1)):
+            for lo, _, data, off in tb.slices(batch.column(2)):
                 _, doc, _, _, a, ids = runs_of(tb.words(data, off), length, gram)
                 on = among(repeated.value, a)
                 yield pa.RecordBatch.from_arrays([long_array(a[on]), long_array(ids[on]), pa.array(keys[lo + doc[on]])], ["anchor", "id", "key"])
 
-    keyed = docs.select(key().alias("key"), "text")
+    keyed = docs.select(*keys_of(), "text")
     runs = cut(keyed.mapInArrow(count_runs, "anchor long, id long, key long").groupBy("anchor", "id").agg(F.count("*").alias("n"), F.min("key").alias("key")))
     whole = runs.where("n > 1").select("anchor", "id")
     kinds = cut(runs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"))
@@ -206,20 +207,19 @@ def repeats(docs: DataFrame, length: int = 35, gram: int = 10, max_bits: int = 1
     def count_windows(batches):
         for batch in batches:
             keys = batch.column(0).to_numpy().view(np.uint64)
-            for lo, _, data, off in tb.slices(batch.column(1)):
+            for lo, _, data, off in tb.slices(batch.column(2)):
                 h, doc, first, n, a, ids = runs_of(tb.words(data, off), length, gram)
                 on = among(mixed.value, a) & (~among(is_whole.value, ids) | among(single.value, ids) | among(lead.value, both(ids, keys[lo + doc])))
                 _, _, anchor, wid = windows_of(h, first[on], n[on], a[on], length)
                 yield tallied(anchor, wid)
 
     again = cut(keyed.mapInArrow(count_windows, "anchor long, id long, n int").groupBy("anchor", "id").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", "id"))
-    release(spark)
     is_again = spark.sparkContext.broadcast(bit_map(again.select("id"), max_bits))
 
     def places(batches):
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for lo, _, data, off in tb.slices(batch.column(1)):
+            keys, more = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, _, data, off in tb.slices(batch.column(2)):
                 w = tb.words(data, off)
                 h, doc, first, n, a, ids = runs_of(w, length, gram)
                 on = np.flatnonzero(among(is_whole.value, ids) & among(repeated.value, a))
@@ -228,46 +228,72 @@ def repeats(docs: DataFrame, length: int = 35, gram: int = 10, max_bits: int = 1
                 some = among(is_again.value, wid)
                 run, at, anchor, wid = part[run[some]], at[some], anchor[some], wid[some]
                 d = np.concatenate([doc[on], doc[run]])
-                yield pa.RecordBatch.from_arrays([long_array(np.concatenate([a[on], anchor])), long_array(np.concatenate([ids[on], wid])), pa.array(keys[lo + d]), pa.array((np.concatenate([first[on], at]) - w.first[d]).astype(np.int32)), pa.array(np.concatenate([n[on], np.ones(len(at), np.int64)]).astype(np.int32))], ["anchor", "id", "key", "first", "windows"])
+                yield pa.RecordBatch.from_arrays([long_array(np.concatenate([a[on], anchor])), long_array(np.concatenate([ids[on], wid])), pa.array(keys[lo + d]), pa.array(more[lo + d]), pa.array((np.concatenate([first[on], at]) - w.first[d]).astype(np.int32)), pa.array(np.concatenate([n[on], np.ones(len(at), np.int64)]).astype(np.int32))], ["anchor", "id", "key", "key2", "first", "windows"])
 
-    found = keyed.mapInArrow(places, "anchor long, id long, key long, first int, windows int")
-    return found.join(whole.unionByName(again), ["anchor", "id"]).select("key", "first", "windows")
+    found = keyed.mapInArrow(places, "anchor long, id long, key long, key2 long, first int, windows int")
+    return found.join(whole.unionByName(again), ["anchor", "id"]).select("key", "key2", "first", "windows")
 
 
-def key():
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
+def keys_of() -> list[Column]:
+    """128 bits of a row's id and text, as two numbers."""
+    return [F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), F.xxhash64(F.lit("text"), F.col("doc_id"), F.col("text")).alias("key2")]
 
 
 def dedup(docs: DataFrame, length: int = 35, gram: int = 10, max_bits: int = 1 << 27) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by a space) for each row."""
+    """doc_id, n_words, n_removed, kept (the words left, joined by a space) for each row.
+
+    Only rows whose key a bit map of the keys with repeats lets through meet their repeats by a join; the texts
+    of the others are not shuffled.
+    """
     docs = docs.select("doc_id", "text")
-    found = repeats(docs, length, gram, max_bits).groupBy("key").agg(F.collect_list(F.struct("first", "windows")).alias("runs"))
-    rows = docs.withColumn("key", key()).join(found, "key", "left").select("doc_id", "text", F.expr("flatten(transform(runs, r -> sequence(r.first, r.first + r.windows - 1)))").alias("at"))
+    # a set, as rows that repeat as a whole share a key and its repeats
+    found = cut(repeats(docs, length, gram, max_bits).groupBy("key", "key2").agg(F.collect_set(F.struct("first", "windows")).alias("runs")))
+    with_runs = docs.sparkSession.sparkContext.broadcast(bit_map(found.select("key"), max_bits))
+    keyed = docs.select(*keys_of(), "doc_id", "text")
+
+    def hit(batches, on: bool):
+        for batch in batches:
+            yield batch.filter(pa.array(among(with_runs.value, batch.column(0).to_numpy().view(np.uint64)) == on))
+
+    def plain(batches):
+        for batch in hit(batches, False):
+            yield without(batch.column(2), batch.column(3), [None] * batch.num_rows, length)
 
     def run(batches):
         for batch in batches:
-            at = batch.column(2)
-            removed, total, kept = [], [], []
-            for lo, hi, data, off in tb.slices(batch.column(1)):
-                w = tb.words(data, off)
-                for d in range(lo, hi):
-                    a, b = w.first[d - lo], w.first[d - lo + 1]
-                    begins = at[d].values
-                    n = int(b - a)
-                    gone = np.zeros(n + 1, np.int64)
-                    if begins is not None and len(begins):
-                        first = np.unique(begins.to_numpy())
-                        np.add.at(gone, first, 1)
-                        np.add.at(gone, first + length, -1)
-                    gone = np.cumsum(gone)[:n] > 0
-                    left = np.flatnonzero(~gone) + a
-                    total.append(n)
-                    removed.append(int(gone.sum()))
-                    kept.append(join(data, w.start[left], w.end[left]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
+            yield without(batch.column(0), batch.column(1), batch.column(2), length)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept binary").withColumn("kept", F.decode("kept", "UTF-8"))
+    out = f"doc_id {kind}, n_words long, n_removed long, kept binary"
+    some = keyed.mapInArrow(lambda batches: hit(batches, True), f"key long, key2 long, doc_id {kind}, text string")
+    rows = some.join(found, ["key", "key2"], "left").select("doc_id", "text", F.expr("flatten(transform(runs, r -> sequence(r.first, r.first + r.windows - 1)))").alias("at"))
+    return keyed.mapInArrow(plain, out).unionByName(rows.mapInArrow(run, out)).withColumn("kept", F.decode("kept", "UTF-8"))
+
+
+def without(ids: pa.Array, texts: pa.Array, at, length: int) -> pa.RecordBatch:
+    """ids, n_words, n_removed and kept (bytes); at: the first words of each text's repeated windows, or null."""
+    removed, total, kept = [], [], []
+    for lo, hi, data, off in tb.slices(texts):
+        w = tb.words(data, off)
+        for d in range(lo, hi):
+            a, b = w.first[d - lo], w.first[d - lo + 1]
+            begins = at[d].values if at[d] is not None else None
+            n = int(b - a)
+            if begins is None or not len(begins):
+                total.append(n)
+                removed.append(0)
+                kept.append(join(data, w.start[a:b], w.end[a:b]))
+                continue
+            gone = np.zeros(n + 1, np.int64)
+            first = np.unique(begins.to_numpy())
+            np.add.at(gone, first, 1)
+            np.add.at(gone, first + length, -1)
+            gone = np.cumsum(gone)[:n] > 0
+            left = np.flatnonzero(~gone) + a
+            total.append(n)
+            removed.append(int(gone.sum()))
+            kept.append(join(data, w.start[left], w.end[left]))
+    return pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def join(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:

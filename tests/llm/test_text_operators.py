@@ -140,6 +140,15 @@ def test_substrings(docs, rows, empty, length, gram):
     assert substring.dedup(empty, length, gram).count() == 0
 
 
+def test_substrings_of_rows_that_repeat_without_an_id(spark):
+    rng = random.Random(14)
+    one, two = prose(rng, 80), prose(rng, 90)
+    texts = [one] * 5 + [two, "start " + two, prose(rng, 70)]
+    rows = [(None, t) for t in texts] + [(7, one), (7, prose(rng, 50))]
+    got = bag(substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("h", F.sha2("kept", 256)), "doc_id", "n_words", "n_removed", "h")
+    assert got == sorted(brute.repeats(rows), key=str)
+
+
 def test_substrings_with_a_full_bit_map(docs, rows):
     got = bag(substring.dedup(docs, 35, 10, max_bits=1 << 4), "doc_id", "n_removed")
     assert got == sorted(((d, n) for d, _, n, _ in brute.repeats(pairs(rows))), key=str)
