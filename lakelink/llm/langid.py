@@ -1,11 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts are gathered over every training text (one pass, sparse rows per partition, summed by Spark). The
-log-probability matrix is broadcast; its size is bound by `max_model_bytes`: the number of hash buckets is
-halved until languages x buckets x 8 bytes fits. Batches are scored as sparse counts in numpy.
+log-probability matrix (languages x 2^bits, 4 bytes each) is broadcast; one over `max_model_bytes` is refused,
+as fewer buckets would change results. A batch of texts is scored as sparse (text, bucket) coordinates in numpy.
 
-Texts that are null or hold no letter are `und` with score 0, as is everything if nothing can be learned.
-Rows with a null language, text or id are not learned from. Very long texts are counted piece by piece.
+Texts that are null or hold no letter (Unicode categories L) are `und` with score 0, as is everything if nothing
+can be learned. Rows with a null language, text or id are not learned from. Repeated rows are learned from as
+often as they come. Of equally likely languages the first by name is named. Long texts are whole, counted piece by
+piece; an empty table gives no rows; kept columns may have any name but lang_pred and score.
 """
 
 from __future__ import annotations
@@ -27,15 +29,32 @@ U64 = np.uint64
 
 def letters(text: str | None) -> str:
     """Lower-cased letters; everything else becomes one space."""
-    return NOT_LETTERS.sub(" ", (text or "").lower()).strip()
-
-
-def buckets(clean: str, bits: int) -> Iterator[np.ndarray]:
-    """Bucket of every n-gram of the padded text, in pieces."""
-    codes = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    clean = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    if clean and not clean.replace(" ", "").isalpha():  # \w also holds numbers such as ½ and Ⅷ
+        clean = " ".join("".join(c if c.isalpha() else " " for c in clean).split())
+    return clean
+
+
+def batches_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Indices and letters of the texts with a letter, about PIECE letters at a time."""
+    at, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        if clean := letters(text):
+            at.append(i)
+            held.append(clean)
+            size += len(clean)
+        if size >= PIECE or (held and i + 1 == len(texts)):
+            yield np.array(at), held
+            at, held, size = [], [], 0
+
+
+def grams(held: list[str], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, bucket) of every n-gram of the padded texts, in pieces; no n-gram spans two texts."""
+    codes = np.frombuffer("".join(f" {c} " for c in held).encode("utf-32-le", "surrogatepass"), np.uint32)
+    text = np.repeat(np.arange(len(held)), [len(c) + 2 for c in held])
     top = max(ORDERS)
     for lo in range(0, len(codes), PIECE):
-        part = codes[lo : lo + PIECE + top - 1].astype(U64)
+        part, own = codes[lo : lo + PIECE + top - 1].astype(U64), text[lo : lo + PIECE + top - 1]
         here = min(PIECE, len(codes) - lo)
         h = np.zeros(len(part), U64)
         for n in range(1, top + 1):
@@ -43,7 +62,8 @@ def buckets(clean: str, bits: int) -> Iterator[np.ndarray]:
             if size <= 0:
                 break
             h = h[: len(part) - n + 1] * U64(0x100000001B3) + part[n - 1 :] + U64(n)
-            yield ((h[:size] * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int64)
+            on = own[:size] == own[n - 1 : n - 1 + size]
+            yield own[:size][on], ((h[:size][on] * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int64)
 
 
 @dataclass
@@ -56,21 +76,23 @@ class LanguageModel:
 
 def fit(train: DataFrame, bits: int = 15, alpha: float = 0.1, max_model_bytes: int = 64 << 20) -> LanguageModel:
     """train: (text, lang), both non-null."""
-    docs = {r[0]: r[1] for r in train.groupBy("lang").count().orderBy("lang").limit(max_model_bytes // (8 << 8) + 1).collect()}
+    bound = max_model_bytes // (4 << bits)
+    docs = {r[0]: r[1] for r in train.groupBy("lang").count().orderBy("lang").limit(bound + 1).collect()}
+    if len(docs) > bound:
+        raise ValueError(f"over {bound} languages: the matrix would exceed max_model_bytes")
     langs = sorted(docs)
-    while len(langs) * 8 << bits > max_model_bytes:
-        bits -= 1
-    if bits < 8:
-        raise ValueError("too many language labels for the model's bound")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if clean := letters(text):
-                    into = total.setdefault(lang, np.zeros(1 << bits, np.int64))
-                    for b in buckets(clean, bits):
-                        np.add.at(into, b, 1)
+            lang = batch.column(1).to_pylist()
+            for at, held in batches_of(batch.column(0).to_pylist()):
+                names, code = np.unique([lang[i] for i in at], return_inverse=True)
+                table = np.zeros(len(names) << bits, np.int64)
+                for text, bucket in grams(held, bits):
+                    table += np.bincount((code[text] << bits) | bucket, minlength=len(table))
+                for name, counts in zip(names.tolist(), table.reshape(len(names), -1), strict=True):
+                    total[name] = total.get(name, 0) + counts
         for lang, counts in total.items():
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "bucket", "n"])
@@ -85,20 +107,20 @@ def fit(train: DataFrame, bits: int = 15, alpha: float = 0.1, max_model_bytes: i
 
 
 def predict(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Sparse scoring of a batch: only occupied buckets meet the matrix."""
-    pred, score = [], []
-    for text in texts:
-        clean = letters(text)
-        if not clean or not model.langs:
-            pred.append("und")
-            score.append(0.0)
-            continue
-        b = np.concatenate(list(buckets(clean, model.bits)))
-        z = (model.weights[:, b].sum(1, dtype=np.float64) if len(b) < 1 << model.bits else model.weights.astype(np.float64) @ np.bincount(b, minlength=1 << model.bits)) + model.prior
-        z = np.exp(z - z.max())
-        k = int(z.argmax())
-        pred.append(model.langs[k])
-        score.append(float(z[k] / z.sum()))
+    """The likeliest language of each text, and its probability."""
+    pred, score = ["und"] * len(texts), [0.0] * len(texts)
+    if not model.langs:
+        return pred, score
+    for at, held in batches_of(texts):
+        z = np.tile(model.prior, (len(held), 1))
+        for text, bucket in grams(held, model.bits):
+            for k, weights in enumerate(model.weights):
+                z[:, k] += np.bincount(text, weights[bucket], len(held))
+        z = np.exp(z - z.max(1, keepdims=True))
+        best = z.argmax(1)
+        sure = z.max(1) / z.sum(1)
+        for i, k, p in zip(at.tolist(), best.tolist(), sure.tolist(), strict=True):
+            pred[i], score[i] = model.langs[k], p
     return pred, score
 
 

@@ -1,13 +1,24 @@
 """Quality rules: exact base rules, and robust multivariate outliers.
 
-Each text gives a vector of transformed statistics. For each language and source (a group of its own where
-it has at least `min_rows` texts, else the language, else all) a minimum-covariance-determinant estimate is
-found by concentration steps over all rows: distances under the current centre and scatter are counted in
-fixed logarithmic bins, the half with the least distances gives the next centre and scatter. A text whose
-squared Mahalanobis distance, scaled so that the group's median fits a chi-square, exceeds `cutoff` goes.
-
-Null and wordless texts fail the base rules and take no part in the estimates. Null languages and sources
-form groups of their own. Repeated rows are rows. A group without spread in a statistic gets a least spread.
+Each text gives a vector of four statistics, on scales that make clean texts near-normal: logarithm of the mean
+word length, square roots of the shares of symbols and of capitals, and logarithmic variety of words. (Digits,
+doubled lines and repeated words are absent from most clean texts: they have no scatter to estimate, and the base
+rules judge repeats.) Each language and source with `min_rows` texts is a group; the texts of a language's
+smaller sources form one, and what is left then another; a group under `min_rows` has no estimate.
+
+Minimum-covariance-determinant of each group, over all of its rows: three deterministic starts (quartiles,
+covariance of bounded scores, of spatial signs), and from each concentration steps until the determinant no
+longer falls: squared distances are summed up in logarithmic bins together with the moments of their rows, the bins
+below the median give the next centre and scatter. The start of least determinant counts; its scatter has the
+consistency factor of the half's share, and the mean sampling variance of the statistics (at most 1/4n for a share
+of n) is added, so that a statistic that is the same in all texts has a spread. A text goes if its squared
+Mahalanobis distance is beyond the chi-square 0.999 point and beyond the group's own fence: `FENCE` times the
+logarithm of median over first quartile above the median (54 for normal rows), which like the estimate
+itself depends on the inner half alone.
+
+Null and wordless texts fail the base rules and take no part in the estimates. Null languages and sources are
+values of their own. Repeated rows are rows; rows with equal distances go or stay together; texts are measured
+whole. An empty table gives no rows. Other columns may have any name.
 """
 
 from __future__ import annotations
@@ -19,20 +30,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbuf as tb
-from .common import cut, small
+from .common import free, small, stored
 
 #: Characters that count as symbols.
 SYMBOLS = tb._table(b"#*$%&|<>")
-UPPER, LOWER, DIGIT = tb._table(range(65, 91)), tb._table(range(97, 123)), tb._table(range(48, 58))
-PUNCT = tb._table(b"!?;:\"'()[]{}=_/\\~^`@+")
-#: Transformed statistics, in order; see vectors().
-STATS = ("word_length", "symbols", "marks", "capitals", "digits", "repeats", "variety", "lines")
+UPPER, LOWER = tb._table(range(65, 91)), tb._table(range(97, 123))
+#: Statistics, in order; see vectors().
+STATS = ("word_length", "symbols", "capitals", "variety")
 P = len(STATS)
-#: Median of the chi-square distribution with P degrees of freedom (Wilson-Hilferty).
-MEDIAN = P * (1 - 2 / (9 * P)) ** 3
-BINS_PER_DOUBLING = 32
-#: Least spread of each statistic: what differs by less is alike. Repeats and lines have rules of their own.
-FLOORS = np.array([0.05, 0.03, 0.08, 0.05, 0.12, 0.3, 0.08, 0.4])
+#: The 0.999 point of the chi-square distribution with P = 4 degrees of freedom.
+LEAST_CUT = 18.467
+#: A group's cut-off: so many times the logarithmic distance from first quartile to median, beyond the median.
+FENCE = 5.0
+MIN_ROWS = 10 * P
+#: Bins of squared distances by powers of two.
+BINS = 8
+#: Groups whose estimates (some 400 bytes each, for three starts) may be broadcast.
+MODEL_ROWS = 20_000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -85,7 +99,7 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def measure(column: pa.Array) -> dict[str, np.ndarray]:
     """Base counts and further raw counts of each text."""
-    held: dict[str, list] = {k: [] for k in (*BASE, "marks", "upper", "letters", "digits", "distinct", "n_lines")}
+    held: dict[str, list] = {k: [] for k in (*BASE, "upper", "letters", "distinct")}
     for _, _, data, off in tb.slices(column):
         w = tb.words(data, off)
         h = tb.word_hashes(w)
@@ -97,63 +111,59 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
         held["n_symbols"].append(total(SYMBOLS[data]))
         held["n_repeat_words"].append(repeated)
         held["distinct"].append(distinct)
-        held["marks"].append(total(PUNCT[data]))
         held["upper"].append(total(UPPER[data]))
         held["letters"].append(total(UPPER[data] | LOWER[data] | (data >= 0xC0)))
-        held["digits"].append(total(DIGIT[data]))
-        held["n_lines"].append(total(data == 10) + 1)
         raw = data.tobytes()
         held["n_dup_lines"].append(np.array([dup_lines(raw[a:b].decode("utf-8", "surrogatepass")) if b > a else 0 for a, b in zip(off[:-1], off[1:], strict=True)], np.int64))
     return {k: np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for k, v in held.items()}
 
 
 def vectors(m: dict[str, np.ndarray]) -> np.ndarray:
-    """Rows of STATS: shares on a square-root scale, sizes on a logarithmic one."""
-    n, chars = np.maximum(m["n_words"], 1), np.maximum(m["word_chars"], 1)
-    share = lambda a, b: np.sqrt(a / b)
+    """Rows of STATS, each followed by their sampling variances."""
+    n, chars, letters = (np.maximum(m[k], 1.0) for k in ("n_words", "word_chars", "letters"))
+    size = np.log(n + 1)
     return np.column_stack([
-        np.log(chars / n),
-        share(m["n_symbols"], chars),
-        share(m["marks"], chars),
-        share(m["upper"], np.maximum(m["letters"], 1)),
-        share(m["digits"], chars),
-        share(m["n_repeat_words"], n),
-        np.log(m["distinct"].clip(1)) / np.log(n + 1.0),
-        share(m["n_dup_lines"], m["n_lines"]),
+        np.log(chars / n), np.sqrt(m["n_symbols"] / chars), np.sqrt(m["upper"] / letters), np.log(np.maximum(m["distinct"], 1)) / size,
+        0.25 / n, 0.25 / chars, 0.25 / letters, 0.25 / (n * size * size),
     ])
 
 
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns, __s (base counts) and __v (the vector; null without words)."""
+def measured(docs: DataFrame, keep: list[str], name: str) -> DataFrame:
+    """The kept columns, and under the name: s (base counts) and v (the vector) of the text."""
     at = docs.columns.index("text")
     index = [docs.columns.index(c) for c in keep]
 
     def run(batches):
         for batch in batches:
             m = measure(batch.column(at))
-            v, n = vectors(m), len(m["n_words"])
-            counts = np.column_stack([m[k] for k in BASE])
-            vec = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * P), pa.array(v.ravel()))
-            base = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(BASE)), pa.array(counts.ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in index), base, vec], [*keep, "__s", "__v"])
+            each = [tb.list_array(np.arange(batch.num_rows + 1) * x.shape[1], x.ravel(), kind) for x, kind in ((np.column_stack([m[k] for k in BASE]), pa.int64()), (vectors(m), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in index), pa.StructArray.from_arrays(each, ["s", "v"])], [*keep, name])
 
     fields = [T.StructField(c, docs.schema[c].dataType, True) for c in keep]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("__s", T.ArrayType(T.LongType())), T.StructField("__v", T.ArrayType(T.DoubleType()))]))
+    stats = T.StructType([T.StructField("s", T.ArrayType(T.LongType())), T.StructField("v", T.ArrayType(T.DoubleType()))])
+    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(name, stats)]))
 
 
-def failed() -> Column:
-    n, repeated = F.col("__s")[0], F.col("__s")[4]
+def failed(stats: str) -> Column:
+    n, repeated = F.col(stats)["s"][0], F.col(stats)["s"][4]
     return (n < 50) | (100 * repeated > 50 * n)
 
 
-def _part(col: str) -> Column:
-    """A value, told from its absence."""
-    return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit("-"))
+def cell() -> Column:
+    """A row's language and source, values told from their absence."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+    return F.struct(part("lang").alias("lang"), part("source").alias("source"))
 
 
-def group_keys() -> list[Column]:
-    """Keys of a row's groups: language and source, language, all."""
-    return [F.concat(F.lit("2"), F.to_json(F.struct(_part("lang"), _part("source")))), F.concat(F.lit("1"), F.to_json(F.struct(_part("lang")))), F.lit("0")]
+def grouped(cells: DataFrame, min_rows: int) -> DataFrame:
+    """(cell, g) from (cell, n): the number of each cell's group; none for a group that is too small."""
+    cells = cells.withColumn("own", F.col("n") >= min_rows)
+    langs = cells.where("not own").groupBy(F.col("cell.lang").alias("lang")).agg(F.sum("n").alias("pool"))
+    cells = cells.join(stored(langs), F.col("cell.lang") == F.col("lang"), "left")
+    place = F.when(F.col("own"), F.to_json("cell")).when(F.col("pool") >= min_rows, F.to_json(F.struct("cell.lang"))).otherwise("{}")
+    cells = stored(cells.select("cell", "n", place.alias("place")))
+    sizes = stored(cells.groupBy("place").agg(F.sum("n").alias("size")).where(F.col("size") >= min_rows).select("place", F.monotonically_increasing_id().alias("g")))
+    return stored(cells.join(sizes, "place", "left").select("cell", "g"))
 
 
 def distance(v: Column, centre: Column, inverse: Column) -> Column:
@@ -168,93 +178,142 @@ def distance(v: Column, centre: Column, inverse: Column) -> Column:
     return total
 
 
-#: Groups whose estimates (some 600 bytes each) may be broadcast.
-MODEL_ROWS = 20_000
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+MODEL = "g long, start int, centre array<double>, inverse array<double>, logdet double, noise array<double>, cut double, inside long, settled boolean"
+
+
+def chi4(x: float) -> float:
+    """Distribution function of chi-square with 4 degrees of freedom."""
+    return 1 - np.exp(-x / 2) * (1 + x / 2)
+
 
+def consistency(share: float) -> float:
+    """What the scatter of the `share` innermost of normal rows is to be multiplied by."""
+    lo, hi = 0.0, 200.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi4(mid) < share else (lo, mid)
+    return share / (1 - np.exp(-lo / 2) * (1 + lo / 2 + lo * lo / 8))  # chi-square with 6 degrees below
 
-def handed(model: DataFrame) -> DataFrame:
-    return small(model, model.count(), MODEL_ROWS)
 
+def symmetric(sums: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(sums[0, 0]), P, P))
+    for i, j in PAIRS:
+        out[:, i, j] = out[:, j, i] = sums[i, j]
+    return out
 
-def fit(stats: DataFrame, min_rows: int = 400, steps: int = 5) -> DataFrame:
-    """(g, centre, inverse, scale) of each group; stats: __g (array of group keys), __v."""
-    rows = cut(stats.select(F.explode("__g").alias("g"), F.col("__v").alias("v")))
-    sizes = rows.groupBy("g").agg(F.count("*").alias("n")).where((F.col("n") >= min_rows) | (F.col("g") == "0"))
-    cols = [F.get("v", i) for i in range(P)]
-    start = rows.join(sizes, "g").groupBy("g").agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, c in enumerate(cols)))
 
-    def first(batches):
+def model_rows(g, start, centre, scatter, noise, cut=None, inside=None, settled=None) -> pa.RecordBatch:
+    n = len(centre)
+    whole = scatter + noise[:, None, :] * np.eye(P)
+    lists = lambda x: tb.list_array(np.arange(n + 1) * (x.size // max(n, 1)), x.ravel(), pa.float64())
+    cols = [pa.array(g, pa.int64()), pa.array(start, pa.int32()), lists(centre), lists(np.linalg.inv(whole)), pa.array(np.linalg.slogdet(whole)[1]), lists(noise)]
+    cols += [pa.array(np.full(n, np.inf) if cut is None else cut), pa.array(np.zeros(n, np.int64) if inside is None else inside), pa.array(np.zeros(n, bool) if settled is None else settled)]
+    return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in MODEL.split(", ")])
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Three first estimates of each group; rows: g, v."""
+    v = [F.get("v", i) for i in range(P)]
+    first = stored(rows.groupBy("g").agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, c in enumerate(v)), *(F.avg(F.get("v", P + i)).alias(f"e{i}") for i in range(P))))
+    spread = [F.greatest((F.get(f"q{i}", 2) - F.get(f"q{i}", 0)) / 1.349, F.sqrt(f"e{i}")) for i in range(P)]
+    first = stored(first.select("g", F.array(*(F.get(f"q{i}", 1) for i in range(P))).alias("middle"), F.array(*spread).alias("spread"), F.array(*(F.col(f"e{i}") for i in range(P))).alias("noise")))
+    z = [(v[i] - F.get("middle", i)) / F.get("spread", i) for i in range(P)]
+    scored = rows.join(small(first, first.count(), MODEL_ROWS), "g").select("g", *(c.alias(f"z{i}") for i, c in enumerate(z)))
+    norm = F.greatest(sum((F.pow(f"z{i}", F.lit(2.0)) for i in range(P)), F.lit(0.0)), F.lit(1e-300))
+    sums = [F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")).alias(f"t{i}_{j}") for i, j in PAIRS] + [F.avg(F.col(f"z{i}") * F.col(f"z{j}") / norm).alias(f"u{i}_{j}") for i, j in PAIRS]
+    both = scored.groupBy("g").agg(*sums).join(first, "g")
+
+    def run(batches):
         for f in batches:
-            q = np.array([f.column(f"q{i}").to_pylist() for i in range(P)], float).reshape(P, len(f), 3).transpose(1, 0, 2)
-            spread = np.maximum((q[:, :, 2] - q[:, :, 0]) / 1.349, FLOORS)
-            yield _model(f.column("g"), q[:, :, 1], spread[:, :, None] ** 2 * np.eye(P))
-
-    schema = "g string, centre array<double>, inverse array<double>, scale double"
-    model = cut(start.mapInArrow(first, schema))
-    pairs = [(i, j) for i in range(P) for j in range(i, P)]
-    for step in range(steps + 1):
-        d = rows.join(handed(model), "g").select("g", "v", distance(F.col("v"), F.col("centre"), F.col("inverse")).alias("d2"))
-        d = d.withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-9) * BINS_PER_DOUBLING).cast("int"))
-        bins = d.groupBy("g", "bin").agg(F.count("*").alias("n"))
-        half = bins.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("b"), F.sum("n").alias("n"))
-        # bins are few (a fixed range of exponents); the first whose running count reaches half
-        reach = F.aggregate("b", F.struct(F.lit(0).cast("long").alias("s"), F.lit(None).cast("int").alias("at")), lambda a, x: F.struct((a["s"] + x["n"]).alias("s"), F.when(a["at"].isNull() & (2 * (a["s"] + x["n"]) >= F.col("n")), x["bin"]).otherwise(a["at"]).alias("at")))
-        half = half.select("g", reach["at"].alias("edge"))
-        if step == steps:
-            scale = half.select("g", (F.lit(MEDIAN) / F.pow(F.lit(2.0), (F.col("edge") + 0.5) / BINS_PER_DOUBLING)).alias("scale"))
-            return cut(model.drop("scale").join(scale, "g"))
-        inner = d.join(half, "g").where("bin <= edge")
-        moments = inner.groupBy("g").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)), *(F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i, j in pairs))
-
-        def concentrate(batches):
-            for f in batches:
-                n = f.column("n").to_numpy().astype(float)
-                mean = np.column_stack([f.column(f"s{i}").to_numpy() for i in range(P)]) / n[:, None]
-                cov = np.zeros((len(f), P, P))
-                for i, j in pairs:
-                    cov[:, i, j] = cov[:, j, i] = f.column(f"s{i}_{j}").to_numpy() / n - mean[:, i] * mean[:, j]
-                cov += np.diag(FLOORS**2)
-                yield _model(f.column("g"), mean, cov)
-
-        model = cut(moments.mapInArrow(concentrate, schema))
-    return model
-
-
-def _model(g: pa.Array, centre: np.ndarray, cov: np.ndarray) -> pa.RecordBatch:
-    lists = pa.list_(pa.float64())
-    return pa.RecordBatch.from_arrays([g, pa.array(list(centre), lists), pa.array(list(np.linalg.inv(cov).reshape(len(cov), P * P)), lists), pa.array(np.ones(len(centre)))], ["g", "centre", "inverse", "scale"])
-
-
-def judge(stats: DataFrame, model: DataFrame, cutoff: float) -> DataFrame:
-    """stats with __kept: not failed, and no outlier of the first of its groups that has an estimate."""
-    out, rows = stats, model.count()
-    for i in range(3):
-        m = small(model, rows, MODEL_ROWS).select(F.col("g").alias("__k"), *(F.col(c).alias(f"__{c}{i}") for c in ("centre", "inverse", "scale")))
-        out = out.withColumn("__k", F.col("__g")[i]).join(m, "__k", "left").drop("__k")
-    pick = lambda c: F.coalesce(*(F.col(f"__{c}{i}") for i in range(3)))
-    d2 = distance(F.col("__v"), pick("centre"), pick("inverse")) * pick("scale")
-    return out.withColumn("__d2", d2).withColumn("__kept", ~failed() & F.coalesce(F.col("__d2") <= cutoff, F.lit(True)))
-
-
-def groups(df: DataFrame) -> DataFrame:
-    return df.withColumn("__g", F.array(*group_keys()))
-
-
-#: Squared distances beyond this are outliers. Statistics of clean texts have heavier tails than a normal.
-CUTOFF = 700.0
-
-
-def assess(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = 400) -> DataFrame:
-    """doc_id, the base counts, base_failed and kept for each row."""
-    docs = docs.select("doc_id", "text", "lang", "source")
-    stats = cut(groups(measured(docs, ["doc_id", "lang", "source"])).drop("lang", "source"))
-    model = fit(stats.where(~failed()), min_rows)
-    out = judge(stats, model, cutoff)
-    return out.select("doc_id", *(F.col("__s")[i].alias(c) for i, c in enumerate(BASE)), failed().alias("base_failed"), F.col("__kept").alias("kept"), F.round("__d2", 6).alias("distance"))
-
-
-def clean(docs: DataFrame, cutoff: float = CUTOFF, min_rows: int = 400) -> DataFrame:
+            n = len(f)
+            middle, spread, noise = (np.array(f.column(c).to_pylist(), float).reshape(n, P) for c in ("middle", "spread", "noise"))
+            scale = spread[:, :, None] * spread[:, None, :]
+            for k, name in enumerate(("", "t", "u")):
+                shape = symmetric({(i, j): f.column(f"{name}{i}_{j}").to_numpy() for i, j in PAIRS}) * (P if name == "u" else 1) if name else np.broadcast_to(np.eye(P), (n, P, P))
+                yield model_rows(f.column("g").to_numpy(), np.full(n, k), middle, shape * scale, noise)
+
+    return stored(both.mapInArrow(run, MODEL))
+
+
+def concentrate(bins: pa.Table) -> pa.Table:
+    """The next estimate of one group and start, from the moments of its rows by bin of distance."""
+    bins = bins.sort_by("bin")
+    n = bins.column("n").to_numpy()
+    total = np.cumsum(n)
+    at = [int(np.searchsorted(total, total[-1] * q)) for q in (0.25, 0.5)]
+    inside = slice(0, at[1] + 1)
+    h = int(total[at[1]])
+    mean = np.array([bins.column(f"s{i}").to_numpy()[inside].sum() for i in range(P)]) / h
+    old = {c: bins.column(c)[0].as_py() for c in ("g", "start", "centre", "logdet", "noise", "inside")}
+    # moments are about the former centre
+    cov = symmetric({(i, j): np.array([bins.column(f"s{i}_{j}").to_numpy()[inside].sum() / h - mean[i] * mean[j]]) for i, j in PAIRS}) * consistency(h / total[-1])
+    edge = bins.column("bin").to_numpy()
+    low, middle = (edge[at[0]] + 0.5) / BINS, (edge[at[1]] + 0.5) / BINS
+    cut = max(LEAST_CUT, 2.0 ** (middle + FENCE * (middle - low)))
+    centre = np.array(old["centre"])[None] + mean[None]
+    noise = np.array(old["noise"])[None]
+    now = np.linalg.slogdet(cov[0] + np.diag(noise[0]))[1]
+    # concentration lowers the determinant; bins hold more or less than half, so it may also turn in a circle
+    settled = old["inside"] > 0 and now > old["logdet"] - 1e-6
+    return pa.Table.from_batches([model_rows([old["g"]], [old["start"]], centre, cov, noise, np.array([cut]), np.array([h]), np.array([settled]))])
+
+
+def fit(rows: DataFrame, max_steps: int = 40) -> DataFrame:
+    """(g, centre, inverse, cut) of each group; rows: g, v.
+
+    A start whose steps have not settled after `max_steps` (in which determinants fall) counts as it is then.
+    """
+    rows = rows.where("g is not null")
+    model = starts(rows)
+    done = None
+    for _ in range(max_steps):
+        n = model.count()
+        if not n:
+            break
+        d = rows.join(small(model.select("g", "start", "centre", "inverse"), n, MODEL_ROWS), "g")
+        d = d.withColumn("bin", F.floor(F.log2(distance(F.col("v"), F.col("centre"), F.col("inverse")) + 1e-12) * BINS).cast("int"))
+        x = [F.get("v", i) - F.get("centre", i) for i in range(P)]
+        moments = d.groupBy("g", "start", "bin").agg(F.count("*").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(P)), *(F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in PAIRS))
+        step = stored(moments.join(small(model.select("g", "start", "centre", "logdet", "noise", "inside"), n, MODEL_ROWS), ["g", "start"]).groupBy("g", "start").applyInArrow(concentrate, MODEL))
+        over = step.where("settled")
+        done = over if done is None else done.unionByName(over)
+        model = step.where("not settled")
+    done = model if done is None else done.unionByName(model)
+    best = done.groupBy("g").agg(F.min(F.struct("logdet", "start", "centre", "inverse", "cut")).alias("m"))
+    return stored(best.select("g", "m.centre", "m.inverse", "m.cut"))
+
+
+def modelled(stats: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(cell, g) of each language and source, and the estimates; stats: x (s and v), cell."""
+    good = stats.where(~failed("x"))
+    cells = grouped(stored(good.groupBy("cell").agg(F.count("*").alias("n"))), min_rows)
+    rows = stored(good.join(small(cells, cells.count()), "cell").select("g", F.col("x")["v"].alias("v")))
+    return cells, fit(rows)
+
+
+def judged(stats: DataFrame, x: str, at: str, cells: DataFrame, model: DataFrame, name: str) -> DataFrame:
+    """stats with a struct of d2, the squared distance, and kept; x and at name the columns of measures and cell."""
+    pick = small(cells, cells.count()).join(small(model, model.count(), MODEL_ROWS), "g").select(F.col("cell").alias(f"{name}_cell"), F.struct("centre", "inverse", "cut").alias(f"{name}_model"))
+    pick = stored(pick)
+    out = stats.join(small(pick, pick.count(), MODEL_ROWS), F.col(at) == F.col(f"{name}_cell"), "left")
+    d2 = distance(F.col(x)["v"], F.col(f"{name}_model")["centre"], F.col(f"{name}_model")["inverse"])
+    kept = ~failed(x) & F.coalesce(d2 <= F.col(f"{name}_model")["cut"], F.lit(True))
+    return out.withColumn(name, F.struct(d2.alias("d2"), kept.alias("kept"))).drop(f"{name}_cell", f"{name}_model")
+
+
+def assess(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and distance for each row."""
+    stats = stored(measured(docs.select("doc_id", "text", "lang", "source"), ["doc_id", "lang", "source"], "x").select("doc_id", "x", cell().alias("cell")))
+    cells, model = modelled(stats, min_rows)
+    out = judged(stats, "x", "cell", cells, model, "verdict")
+    return out.select("doc_id", *(F.col("x")["s"][i].alias(c) for i, c in enumerate(BASE)), failed("x").alias("base_failed"), F.col("verdict")["kept"].alias("kept"), F.round(F.col("verdict")["d2"], 6).alias("distance"))
+
+
+def clean(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    stats = groups(measured(docs.select("text", "lang", "source"), ["lang", "source"]))
-    model = fit(stats.where(~failed()).select("__g", "__v"), min_rows)
-    return judge(groups(measured(docs, docs.columns)), model, cutoff).where("__kept").select(*docs.columns)
+    stats = stored(measured(docs.select("text", "lang", "source"), ["lang", "source"], "x").select("x", cell().alias("cell")))
+    cells, model = modelled(stats, min_rows)
+    x, at, verdict = free(docs, "quality_x"), free(docs, "quality_at"), free(docs, "quality_verdict")
+    out = judged(measured(docs, docs.columns, x).withColumn(at, cell()), x, at, cells, model, verdict)
+    return out.where(F.col(verdict)["kept"]).select(*(F.col(f"`{c}`") for c in docs.columns))

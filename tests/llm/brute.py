@@ -120,3 +120,40 @@ def near_classes(docs: list[tuple], threshold: float = 0.8) -> dict:
         if doc is not None:
             least[root(i)] = min(doc, least.get(root(i), doc))
     return {i: least.get(root(i)) for i in range(len(docs))}
+
+
+def naive_bayes(model, text: str) -> tuple[str, float]:
+    """Language and probability, n-gram by n-gram."""
+    clean = " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+    padded, z = f" {clean} ", list(model.prior)
+    for i in range(len(padded)):
+        h = 0
+        for n in range(1, 5):
+            if i + n > len(padded):
+                break
+            h = (h * 0x100000001B3 + ord(padded[i + n - 1]) + n) % 2**64
+            bucket = h * 0x9E3779B97F4A7C15 % 2**64 >> (64 - model.bits)
+            z = [a + float(w[bucket]) for a, w in zip(z, model.weights, strict=True)]
+    top = max(z)
+    p = [math.exp(a - top) for a in z]
+    return model.langs[p.index(max(p))], max(p) / sum(p)
+
+
+def mcd(v):
+    """Centre and scatter of the half of least determinant, by concentration steps from many starts."""
+    import numpy as np
+
+    rng, best = np.random.default_rng(0), None
+    for _ in range(200):
+        half = rng.choice(len(v), 6, replace=False)
+        for _ in range(60):
+            c, s = v[half].mean(0), np.cov(v[half].T, bias=True) + 1e-12 * np.eye(v.shape[1])
+            d = np.einsum("ij,jk,ik->i", v - c, np.linalg.inv(s), v - c)
+            new = np.sort(np.argsort(d)[: (len(v) + 1) // 2])
+            if np.array_equal(new, half):
+                break
+            half = new
+        det = np.linalg.det(np.cov(v[half].T, bias=True))
+        if best is None or det < best[0]:
+            best = det, v[half].mean(0), np.cov(v[half].T, bias=True)
+    return best[1:]

@@ -197,7 +197,7 @@ def test_tree_in_parts_is_the_whole_tree(docs):
 
 def test_quality_base(docs, rows, empty):
     cols = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
-    out = quality.assess(docs, min_rows=10)
+    out = quality.assess(docs, min_rows=20)
     assert bag(out, *cols) == sorted(brute.quality(pairs(rows)), key=str)
     assert quality.assess(empty).count() == 0
 
@@ -210,6 +210,43 @@ def test_quality_outliers(spark):
     kept = {r.doc_id for r in quality.clean(docs, min_rows=50).collect()}
     assert kept == set(range(150))
     assert quality.clean(docs).columns == docs.columns
+    # columns with the names that the operator uses
+    named = docs.withColumns({c: F.lit(c) for c in ("x", "g", "cell", "centre", "quality_x", "quality_verdict", "__s")})
+    assert {r.doc_id for r in quality.clean(named, min_rows=50).collect()} == kept
+
+
+def test_quality_estimates_against_brute_force(spark):
+    """Each language and source with enough rows has its own estimate, near that of exact concentration steps."""
+    rng = np.random.default_rng(3)
+    groups, rows = {}, []
+    for g, (n, bad) in enumerate(((400, 0.2), (150, 0.0), (90, 0.3))):
+        mix = rng.normal(size=(4, 4)) * [0.05, 0.02, 0.03, 0.02]
+        v = rng.normal(size=(n, 4)) @ mix + [1.6, 0.2, 0.1, 0.9]
+        v[: int(bad * n)] += [1.0, 0.4, 0.2, -0.3]
+        groups[g] = v
+        rows += [(g, [*x.tolist(), 1e-6, 1e-6, 1e-6, 1e-6]) for x in v]
+    model = {r.g: r for r in quality.fit(spark.createDataFrame(rows, "g long, v array<double>")).collect()}
+    for g, v in groups.items():
+        centre, scatter = brute.mcd(v)
+        got = np.linalg.inv(np.array(model[g].inverse).reshape(4, 4))
+        sd = np.sqrt(np.diag(scatter))
+        assert np.abs((np.array(model[g].centre) - centre) / sd).max() < 0.4
+        assert abs(np.linalg.slogdet(got)[1] - np.linalg.slogdet(scatter * quality.consistency(0.5))[1]) < 0.8
+        d2 = np.einsum("ij,jk,ik->i", v - model[g].centre, np.array(model[g].inverse).reshape(4, 4), v - model[g].centre)
+        out = d2 > model[g].cut
+        bad = int({0: 0.2, 1: 0.0, 2: 0.3}[g] * len(v))
+        assert out[:bad].all() and out[bad:].mean() < 0.02
+    assert quality.consistency(0.999999) == pytest.approx(1, abs=1e-3)
+
+
+def test_quality_groups(spark):
+    """A source of its own, small sources of a language together, what is left together, or none."""
+    cells = [("en", "a", 60), ("en", "b", 30), ("en", "c", 25), ("de", "a", 10), ("fr", "b", 45), ("es", None, 33), (None, "z", 5)]
+    df = spark.createDataFrame([(x, y, n) for x, y, n in cells], "lang string, source string, n long").select(quality.cell().alias("cell"), "n")
+    got = {(r.cell.lang, r.cell.source): r.g for r in quality.grouped(df, 40).collect()}
+    assert got["=en", "=b"] == got["=en", "=c"] and got["=de", "=a"] == got["=es", "-"] == got["-", "=z"]
+    assert len({got["=en", "=a"], got["=en", "=b"], got["=fr", "=b"], got["=de", "=a"]}) == 4
+    assert all(r.g is None for r in quality.grouped(df, 10_000).collect())
 
 
 def test_near_duplicates(docs, rows, empty):
@@ -293,7 +330,16 @@ def test_languages(spark, empty):
     out = langid.identify(df, model, [F.col("doc_id"), F.col("lang")]).collect()
     assert all(r.lang_pred == r.lang for r in out if r.doc_id < 900) and all((r.lang_pred, r.score) == ("und", 0.0) for r in out if r.doc_id >= 900)
     assert langid.fit(df.limit(0).select("text", "lang")).langs == []
-    assert langid.fit(df.where("doc_id < 40").select("text", "lang"), max_model_bytes=3 * 8 << 9).bits == 9
+    with pytest.raises(ValueError):
+        langid.fit(df.where("doc_id < 40").select("text", "lang"), max_model_bytes=2 * 4 << 15)
+    assert langid.identify(empty, model, [F.col("doc_id")]).count() == 0
+    # no letter: numbers and marks that \\w takes for word characters, too
+    texts = ["½ ² Ⅷ", "_ _", "٣٤", "a½", *(t for _, t, x in rows if x == "fr"), "la ½ maison " * 30]
+    pred, score = langid.predict(model, texts)
+    assert pred[:3] == ["und"] * 3 and pred[3] != "und" and set(pred[4:]) == {"fr"}
+    for t, p, s in zip(texts[3:], pred[3:], score[3:], strict=True):
+        assert (p, pytest.approx(s, abs=1e-6)) == brute.naive_bayes(model, t)
+    assert langid.predict(model, texts * 3) == (pred * 3, score * 3)
 
 
 def test_toxicity(spark, empty):
