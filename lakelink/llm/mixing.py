@@ -1,34 +1,35 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame operations only.
 
 Documents fall into cells of source, language and topic. The cells' token weights are raked in turn to the
-target shares of each margin. Targets are given as shares by value, or follow from the data: the share of
-tokens to the power `temper`. A cell's rate is its raked weight over its tokens, scaled so that the sample
-has `share` of all tokens; rates over 1 are held at 1 and the rest is scaled up again (`levels` times). A
-document stays if the hash of its id, a number in [0, 1), is below its cell's rate.
-
-Null sources and languages are values of their own, values without a target have weight 0; a null text has
-no tokens and the topic of an empty one. Rows that repeat an id stay or go together. If nothing has tokens,
-nothing is sampled.
+target shares of each margin, until no margin is off by more than `TOLERANCE`. Targets are given as shares by
+value, or follow from the data: the share of tokens to the power `temper`. A cell's rate is its raked weight over
+its tokens, scaled so that the sample has `share` of all tokens; rates over 1 are held at 1 and the rest is scaled
+up again until none is over. (Cells at rate 1 hold less than their target: the sample then misses margins by what
+these lack.) A document stays if the hash of its id, a number in [0, 1), is below its cell's rate.
+
+Topics are SQL conditions; the default ones tell forms of text by measured shares. Null sources and languages
+are values of their own, values without a target have weight 0; a null text has no tokens and the topic of an
+empty one. Rows that repeat an id stay or go together; null ids share one number. Long texts count whole. If
+nothing has tokens, or the table is empty, nothing is sampled. Columns may have any name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, stored
+from .common import small, stored
 
 MARGINS = ("source", "lang", "topic")
-#: Topics by form, the first that holds; each is a SQL condition on the text.
+#: Parameters: topics by form, the first that holds; each is a SQL condition on text and n, its words.
 TOPICS = (
-    ("license", "contains(text, 'License')"),
-    ("table", "contains(text, ' | ')"),
-    ("shouting", "contains(text, '!! ')"),
-    ("marked", "contains(text, '### ') or contains(text, '%%% ')"),
-    ("contact", "contains(text, '@') or contains(text, ' +1 ')"),
+    ("brief", "n < 100"),
+    ("numeric", "10 * (length(text) - length(translate(text, '0123456789', ''))) > n"),
+    ("listed", "15 * (length(text) - length(replace(text, '\n', '')) + 1) > n"),
+    ("long", "n >= 1000"),
 )
 REST = "prose"
-ROUNDS, LEVELS, TEMPER, SHARE, SEED = 8, 6, 0.7, 0.6, "mix-1"
+ROUNDS, TOLERANCE, TEMPER, SHARE, SEED = 100, 1e-9, 0.7, 0.6, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 CELL_ROWS = 100_000
 
@@ -37,35 +38,47 @@ def topic(topics=TOPICS) -> Column:
     return F.expr("case " + " ".join(f"when {sql} then '{name}'" for name, sql in topics) + f" else '{REST}' end")
 
 
-def described(docs: DataFrame, topics=TOPICS) -> DataFrame:
-    """All columns, with the cell (__source, __lang, __topic) and __tokens."""
+def described(docs: DataFrame, topics=TOPICS, columns: list[str] | None = None) -> DataFrame:
+    """row (these columns), its cell (source, lang, topic) and tokens."""
     value = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    return docs.withColumns({"__source": value("source"), "__lang": value("lang"), "__topic": F.concat(F.lit("="), topic(topics)), "__tokens": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")})
+    row = F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.lit(None)
+    out = docs.select(row.alias("row"), value("source").alias("source"), value("lang").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    out = out.withColumn("n", F.regexp_count("text", F.lit(WORD)).cast("long"))
+    return out.select("row", "source", "lang", F.concat(F.lit("="), topic(topics)).alias("topic"), F.col("n").alias("tokens"))
 
 
-def chance(seed: str = SEED) -> Column:
+def chance(seed: str, doc_id: Column) -> Column:
     """A number in [0, 1) from the id."""
-    text = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    text = F.coalesce(doc_id.cast("string"), F.lit("null"))
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), text)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """cells (__source, __lang, __topic, tokens) with w, raked to targets (value, share) of each margin."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """cells (source, lang, topic, tokens) with w, raked to targets (value, share) of each margin.
+
+    Each round is one plan over a written table, with a window's sum for each margin.
+    """
+    goals = [f"goal_{m}" for m in MARGINS]
     out = cells.withColumn("w", F.col("tokens").cast("double"))
+    for m, goal in zip(MARGINS, goals, strict=True):
+        out = out.join(targets[m].select(F.col("value").alias(m), F.col("share").alias(goal)), m, "left")
+    out = stored(out.fillna(0.0, goals))
     for _ in range(rounds):
-        for m in MARGINS:
-            key = f"__{m}"
-            now = out.groupBy(key).agg(F.sum("w").alias("now"))
-            factor = now.join(targets[m].withColumnRenamed("value", key), key, "left").select(key, F.when(F.col("now") > 0, F.coalesce("share", F.lit(0.0)) / F.col("now")).otherwise(F.lit(0.0)).alias("factor"))
-            # the cells stand on both sides of the join: a written table keeps the plan, and what Spark infers
-            # of it, from growing with the rounds
-            out = stored(out.join(factor, key).withColumn("w", F.col("w") * F.col("factor")).drop("factor"))
-    return out
+        step = out
+        for m, goal in zip(MARGINS, goals, strict=True):
+            now = F.sum("w").over(Window.partitionBy(m))
+            step = step.withColumn("now", now).withColumn("w", F.when(F.col("now") > 0, F.col("w") * (F.col(goal) / F.col("now"))).otherwise(F.lit(0.0))).drop("now")
+        out = stored(step)
+        # a value whose cells all have weight 0 cannot be raked
+        off = [out.groupBy(m).agg(F.abs(F.sum("w") - F.max(goal)).alias("off"), F.sum("w").alias("w")).where("w > 0").agg(F.max("off").alias("off")) for m, goal in zip(MARGINS[:-1], goals, strict=False)]
+        if max((r["off"] or 0.0 for r in off[0].unionByName(off[1]).toLocalIterator()), default=0.0) <= tolerance:
+            break
+    return out.drop(*goals)
 
 
 def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
     """(value, share): token shares to the power, brought to 1."""
-    sums = cells.groupBy(F.col(f"__{margin}").alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("p"))
+    sums = cells.groupBy(F.col(margin).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("p"))
     total = sums.agg(F.sum("p").alias("all"))
     return sums.crossJoin(F.broadcast(total)).select("value", (F.col("p") / F.col("all")).alias("share"))  # one row
 
@@ -75,45 +88,42 @@ def given(spark, shares: dict[str, float]) -> DataFrame:
     return spark.createDataFrame([(f"={k}" if k is not None else "-", v / total) for k, v in shares.items()], "value string, share double")
 
 
-def rates(cells: DataFrame, share: float = SHARE, levels: int = LEVELS) -> DataFrame:
+def rates(cells: DataFrame, share: float = SHARE) -> DataFrame:
     """cells with p, the probability of their documents."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    goal, scale = share * total, None
-    out = cells
-    weight = out.agg(F.sum("w")).first()[0] or 0.0
+    total, weight = cells.agg(F.sum("tokens"), F.sum("w")).first()
+    goal = share * (total or 0)
     scale = goal / weight if weight else 0.0
-    for _ in range(levels):
+    full = -1
+    while scale:
         over = F.col("w") * scale >= F.col("tokens")
-        full, left = out.where("w > 0").agg(F.sum(F.when(over, F.col("tokens")).otherwise(0)), F.sum(F.when(~over, F.col("w")).otherwise(0.0))).first()
-        if not left:
+        n, held, left = cells.where("w > 0").agg(F.count_if(over), F.sum(F.when(over, F.col("tokens")).otherwise(0)), F.sum(F.when(~over, F.col("w")).otherwise(0.0))).first()
+        if n == full or not left:  # no further cell has come to its limit
             break
-        scale = (goal - (full or 0)) / left
-    return out.withColumn("p", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("w") * F.lit(scale) / F.col("tokens"))).otherwise(F.lit(0.0)))
+        full, scale = n, (goal - (held or 0)) / left
+    return cells.withColumn("p", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("w") * F.lit(scale) / F.col("tokens"))).otherwise(F.lit(0.0)))
 
 
 def plan(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = SHARE, temper: float = TEMPER, topics=TOPICS) -> DataFrame:
     """Cells with tokens, docs, w (raked share) and p."""
-    keys = [f"__{m}" for m in MARGINS]
-    cells = cut(described(docs.select("text", "source", "lang"), topics).groupBy(*keys).agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("docs")))
-    wanted = {m: cut(given(docs.sparkSession, targets[m]) if targets and m in targets else tempered(cells.where("tokens > 0"), m, temper)) for m in MARGINS}
-    return cut(rates(rake(cells, wanted), share))
+    cells = stored(described(docs, topics).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs")))
+    wanted = {m: given(docs.sparkSession, targets[m]) if targets and m in targets else tempered(cells.where("tokens > 0"), m, temper) for m in MARGINS}
+    return stored(rates(rake(cells, wanted), share))
 
 
 def apply(docs: DataFrame, cells: DataFrame, topics=TOPICS, seed: str = SEED) -> DataFrame:
-    """All columns, with __source, __lang, __topic, __tokens, __w, __p and __in."""
-    keys = [f"__{m}" for m in MARGINS]
-    cells = cells.select(*keys, F.col("w").alias("__w"), F.col("p").alias("__p"))
-    out = described(docs, topics).join(small(cells, cells.count(), CELL_ROWS), keys)
-    return out.withColumn("__in", chance(seed) < F.col("__p"))
+    """row (all columns), source, lang, topic, tokens, w, p and sampled."""
+    cells = cells.select(*MARGINS, "w", "p")
+    out = described(docs, topics, docs.columns).join(small(cells, cells.count(), CELL_ROWS), [*MARGINS])
+    return out.withColumn("sampled", chance(seed, F.col("row")["doc_id"]) < F.col("p"))
 
 
 def report(docs: DataFrame, **how) -> DataFrame:
     """doc_id, topic, n_tokens, cell_weight, probability and sampled for each row."""
     docs = docs.select("doc_id", "text", "source", "lang")
     out = apply(docs, plan(docs, **how))
-    return out.select("doc_id", F.expr("substring(__topic, 2)").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__w", 8).alias("cell_weight"), F.round("__p", 8).alias("probability"), F.col("__in").alias("sampled"))
+    return out.select(F.col("row")["doc_id"].alias("doc_id"), F.expr("substring(topic, 2)").alias("topic"), F.col("tokens").alias("n_tokens"), F.round("w", 8).alias("cell_weight"), F.round("p", 8).alias("probability"), "sampled")
 
 
 def sample(docs: DataFrame, **how) -> DataFrame:
     """The sampled documents, with their own columns."""
-    return apply(docs, plan(docs, **how)).where("__in").select(*docs.columns)
+    return apply(docs, plan(docs, **how)).where("sampled").select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -73,27 +73,31 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 ALNUM = rf"regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+#: What the unrolled SQL does; the operator goes on until it has settled.
+SQL_ROUNDS, SQL_LEVELS = 12, 8
+
+
 def mixing_sql() -> str:
     """The raking unrolled: each step divides by a window's sum."""
     share = f"pow(sum(tokens)::DOUBLE, {mixing.TEMPER})"
     steps = [
-        f"d AS (SELECT doc_id, coalesce('=' || source, '-') AS source, coalesce('=' || lang, '-') AS lang, CASE {' '.join(f"WHEN {sql} THEN '{name}'" for name, sql in mixing.TOPICS)} ELSE '{mixing.REST}' END AS topic, len({WORDS}) AS tok FROM documents)",
+        f"d AS (SELECT doc_id, coalesce('=' || source, '-') AS source, coalesce('=' || lang, '-') AS lang, CASE {' '.join(f"WHEN {sql} THEN '{name}'" for name, sql in mixing.TOPICS)} ELSE '{mixing.REST}' END AS topic, n AS tok FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text, len({WORDS}) AS n FROM documents))",
         "c AS (SELECT source, lang, topic, sum(tok) AS tokens FROM d GROUP BY ALL)",
         *(f"t_{m} AS (SELECT {m}, {share} / sum({share}) OVER () AS share FROM c WHERE tokens > 0 GROUP BY {m})" for m in mixing.MARGINS),
         "w0 AS (SELECT *, tokens::DOUBLE AS w FROM c)",
     ]
     n = 0
-    for _ in range(mixing.ROUNDS):
+    for _ in range(SQL_ROUNDS):
         for m in mixing.MARGINS:
             steps.append(f"w{n + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, CASE WHEN sum(w) OVER (PARTITION BY {m}) > 0 THEN w * (coalesce(share, 0) / sum(w) OVER (PARTITION BY {m})) ELSE 0 END AS w FROM w{n} LEFT JOIN t_{m} USING ({m}))")
             n += 1
     steps.append(f"s0 AS (SELECT *, {mixing.SHARE} * sum(tokens) OVER () AS goal, {mixing.SHARE} * sum(tokens) OVER () / sum(w) OVER () AS scale FROM w{n})")
-    for k in range(mixing.LEVELS):
+    for k in range(SQL_LEVELS):
         left = "sum(CASE WHEN w > 0 AND w * scale < tokens THEN w ELSE 0 END) OVER ()"
         full = "sum(CASE WHEN w > 0 AND w * scale >= tokens THEN tokens ELSE 0 END) OVER ()"
         steps.append(f"s{k + 1} AS MATERIALIZED (SELECT source, lang, topic, tokens, w, goal, CASE WHEN {left} > 0 THEN (goal - {full}) / {left} ELSE scale END AS scale FROM s{k})")
     return f"""WITH {', '.join(steps)},
-p AS (SELECT source, lang, topic, w, CASE WHEN tokens > 0 THEN least(1.0, w * scale / tokens) ELSE 0 END AS p FROM s{mixing.LEVELS})
+p AS (SELECT source, lang, topic, w, CASE WHEN tokens > 0 THEN least(1.0, w * scale / tokens) ELSE 0 END AS p FROM s{SQL_LEVELS})
 SELECT doc_id, topic, tok AS n_tokens, round(w, 8) AS cell_weight, round(p, 8) AS probability, ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13))::BIGINT / {1 << 52}::DOUBLE < p AS sampled FROM d JOIN p USING (source, lang, topic)"""
 
 

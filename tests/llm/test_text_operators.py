@@ -364,6 +364,13 @@ def test_secrets(spark, empty):
     assert [found[i].n_secrets for i in range(3, 9)] == [0] * 6
     out = {r.doc_id: r for r in secrets.redact(docs).collect()}
     assert out[0].text == 'é the token = "<SECRET>" and' and out[0].n_chars == len(out[0].text) and out[4].text == texts[4] and out[6].text is None
+    # characters of the text that the scan uses as marks stay, and so do columns of any name
+    own = spark.createDataFrame([(1, f"\ue0f0 a\ue0f1 token = \"{key}\" \ue0f0 password=b7db7aa4a5fcc78305 \ue0f1", 1, 2, 3)], "doc_id int, text string, __c int, row int, found int")
+    got = secrets.redact(own)
+    assert got.columns == own.columns and tuple(got.first()) == (1, '\ue0f0 a\ue0f1 token = "<SECRET>" \ue0f0 password=<SECRET> \ue0f1', 1, 2, 3)
+    assert secrets.redact(empty).count() == secrets.digest(empty, [F.col("doc_id")]).count() == 0
+    blob = spark.createDataFrame([(1, "password=" + key * 50_000)], "doc_id int, text string")
+    assert secrets.digest(blob, [F.col("doc_id")]).first().n_candidates == 1
     many = " ".join(f"token={key}{i:04d}" for i in range(700))
     row = secrets.digest(spark.createDataFrame([(1, many)], "doc_id int, text string"), [F.col("doc_id")]).first()
     assert row.spans.split(",") == [f"{m.start(1)}:{m.end(1)}" for m in re.finditer(r"token=(\w+)", many)]
@@ -374,13 +381,25 @@ def test_mixing(spark, docs, empty):
     rows = [(i, prose(rng, rng.randint(20, 200)) + rng.choice(["", " License", " a | b"]), rng.choice(["en", "en", "de", None]), rng.choice("ab"), 0) for i in range(400)]
     df = spark.createDataFrame(rows, SCHEMA)
     cells = mixing.plan(df, targets={"source": {"a": 1, "b": 3}}, share=0.3)
-    got = cells.groupBy("__source").agg(F.sum("w").alias("w")).collect()
-    assert {r["__source"]: round(r.w, 3) for r in got} == {"=a": 0.25, "=b": 0.75}
+    got = cells.groupBy("source").agg(F.sum("w").alias("w")).collect()
+    assert {r["source"]: round(r.w, 3) for r in got} == {"=a": 0.25, "=b": 0.75}
     tokens = [len(brute.SPACE_WORD.findall(r[1])) for r in rows]
     assert cells.agg(F.sum(F.col("p") * F.col("tokens"))).first()[0] == pytest.approx(0.3 * sum(tokens), rel=1e-6)
     kept = mixing.sample(df, share=0.3)
     assert kept.columns == df.columns and 60 < kept.count() < 190
     assert mixing.report(docs).count() == docs.count() and mixing.report(empty).count() == 0
+    named = docs.withColumns({c: F.lit("mine") for c in ("__source", "row", "topic", "w", "p", "sampled", "n")})
+    kept = mixing.sample(named)
+    assert kept.columns == named.columns and all(r["__source"] == r.topic == r.w == "mine" for r in kept.collect())
+    assert bag(kept, *docs.columns) == bag(mixing.sample(docs), *docs.columns)
+
+
+def test_rates_fill_the_sample(spark):
+    """Cells over their tokens are held at 1, and what they leave goes to the others however many steps it takes."""
+    rows = [(str(i), "l", "t", 10 * 2**i, 1.0 / 2 ** (i % 3)) for i in range(12)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, w double")
+    got = mixing.rates(cells, 0.9).agg(F.sum(F.col("p") * F.col("tokens")), F.max("p")).first()
+    assert got[0] == pytest.approx(0.9 * sum(r[3] for r in rows)) and got[1] <= 1
 
 
 def test_pipeline(spark, tmp_path):
