@@ -140,6 +140,20 @@ def moving_average(df: DataFrame, by: str, order: str, value: str, alpha: float
     return out.select(by, "step", F.col("z.s.o").alias(order), F.col("z.s.v").alias(value), F.col("z.ema").alias("ema"))
 
 
+def selected(log: DataFrame, model: str | None = None, max_step: int | None = None) -> DataFrame:
+    """The rows of a model's log up to a step; either may be left out. Rows without a step are not up to any."""
+    if model is not None:
+        log = log.where(F.col("model") == model)
+    return log.where(F.col("step") <= max_step) if max_step is not None else log
+
+
+def run_record(results: DataFrame, **settings) -> DataFrame:
+    """One row for a run: a time stamp, its settings as text, and `results`, the metrics of each source by name."""
+    values = F.struct(*(F.col(c) for c in results.columns if c != "source"))
+    one = results.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", values.alias("metrics"))))).alias("results"))  # a row for each source
+    return one.select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("timestamp"), *(F.lit(str(v)).alias(k) for k, v in settings.items()), "results")
+
+
 def threshold_curve(log: DataFrame, by: list[str]) -> DataFrame:
     """Points of each curve, by threshold."""
     return log.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("threshold", "value"))).alias("points"))

@@ -18,9 +18,12 @@ def pairs(mentions: DataFrame, index: DataFrame, constrained: bool = False) -> D
 
     mentions: tokens and, if constrained, subsetted_concepts: then an equi-join on the exploded parameter id
     takes the place of the product, and an empty subset has no candidates. Without it every distinct mention
-    key meets every index row: a stated query set against all rows.
+    key meets every index row: a stated query set against all rows. If the index has `ord`, its rows' order,
+    candidates have `place`, the order of its ids.
     """
-    entries = index.select(F.col("token_key").alias("key"), F.col("tokens").alias("k_tokens"), F.explode("param_ids").alias("parameter_id"))
+    place = ["place"] if "ord" in index.columns else []
+    entries = index.select("*", F.posexplode("param_ids").alias("pos", "parameter_id")).withColumns({c: F.col("ord") * 65536 + F.col("pos") for c in place})
+    entries = entries.select(F.col("token_key").alias("key"), F.col("tokens").alias("k_tokens"), "parameter_id", *place)
     m = mentions.select(token_key(F.col("tokens")).alias("m_key"), F.array_sort(F.array_distinct("tokens")).alias("m_tokens"), *(["subsetted_concepts"] if constrained else [])).distinct()
     if constrained:
         return m.select("m_key", "m_tokens", F.array_join("subsetted_concepts", ",").alias("subset"), F.explode("subsetted_concepts").alias("parameter_id")).join(entries, "parameter_id")
@@ -39,6 +42,13 @@ def scored(candidates: DataFrame, mode: str = "string", threshold: float = 80) -
     return candidates.join(keys.select("m_key", "key", "score"), ["m_key", "key"])
 
 
+def top_k_in_order(rows: DataFrame, by: list[str], k: int, threshold: float, place: str = "place") -> DataFrame:
+    """Like top_k, but equal scores keep the order of the index: that of the first place with the best score."""
+    best = rows.where(F.col("score") >= threshold).groupBy(*by, "parameter_id").agg(F.max(F.struct("score", (-F.col(place)).alias("back"))).alias("best"))
+    order = Window.partitionBy(*by).orderBy(F.desc("best"))
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, "parameter_id", F.col("best.score").alias("score"), "rank")
+
+
 def top_k(rows: DataFrame, by: list[str], k: int, threshold: float) -> DataFrame:
     """Best score of each (by, parameter_id) at the threshold or above, ranked by score, then id, up to k."""
     best = rows.where(F.col("score") >= threshold).groupBy(*by, "parameter_id").agg(F.max("score").alias("score"))

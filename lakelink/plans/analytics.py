@@ -119,6 +119,20 @@ def ema(spark, d):
     return out.select("user_id", "step", F.round("ema", 6).alias("ema"))
 
 
+@query("SELECT user_id, event_id, value FROM events WHERE event_type = 'click' AND event_id <= 500")
+def log_selected(spark, d):
+    log = table(spark, d, "events").select(F.col("event_type").alias("model"), F.col("event_id").alias("step"), "user_id", "event_id", "value")
+    return metrics.selected(log, "click", 500).select("user_id", "event_id", "value")
+
+
+@query("""SELECT '5' AS k, string_agg(source || '=' || n || '/' || matched, ';' ORDER BY source) AS results FROM (
+SELECT event_type AS source, count(*) AS n, count(*) FILTER (value >= 10) AS matched FROM events GROUP BY 1)""")
+def run_record(spark, d):
+    by = table(spark, d, "events").groupBy(F.col("event_type").alias("source")).agg(F.count("*").alias("n"), F.count_if(F.col("value") >= 10).alias("matched"))
+    entries = F.transform(F.map_entries("results"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["n"].cast("string"), F.lit("/"), e["value"]["matched"].cast("string")))
+    return metrics.run_record(by, k=5).select("k", F.array_join(entries, ";").alias("results"))
+
+
 @query("SELECT event_type, string_agg(t || ':' || n, ',' ORDER BY t) AS points FROM (SELECT event_type, t, count(*) AS n FROM events, (SELECT unnest([5, 10, 20, 40]) AS t) WHERE value >= t GROUP BY 1, 2) GROUP BY 1")
 def threshold_curve(spark, d):
     log = table(spark, d, "events").withColumn("threshold", F.explode(F.array(*map(F.lit, (5, 10, 20, 40))))).where("value >= threshold").groupBy("event_type", "threshold").agg(F.count("*").alias("value"))

@@ -284,9 +284,9 @@ def dense_topk(spark, d):
     return dense(spark, d).select("query_id", F.col("parameter_id").cast("long").alias("vec_id"), "rank", "score")
 
 
-@query(f"WITH {DENSE} SELECT qid AS query_id, vec_id, score FROM top WHERE score >= 0.5")
+@query(f"WITH {DENSE} SELECT qid AS query_id, vec_id, score FROM top WHERE score >= 0.35")
 def dense_threshold(spark, d):
-    return dense(spark, d).where("score >= 0.5").select("query_id", F.col("parameter_id").cast("long").alias("vec_id"), "score")
+    return dense(spark, d).where("score >= 0.35").select("query_id", F.col("parameter_id").cast("long").alias("vec_id"), "score")
 
 
 def dense_lists(spark: SparkSession, d: str) -> DataFrame:

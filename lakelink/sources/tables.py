@@ -55,7 +55,8 @@ def load_ontology(spark: SparkSession, path: str, remove_nil: bool = True) -> Da
     """Synonyms parsed, text trimmed and never null; without the NIL entry unless asked for."""
     df = read_ontology_csv(spark, path).withColumn("parameter_synonyms", parse_synonyms(F.col("parameter_synonyms")))
     df = df.withColumns({c: F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("parameter_category", "parameter_name", "parameter_description", "units")})
-    return df.where((F.col("parameter_id") != NIL) & (F.col("category_id") != NIL_CATEGORY)) if remove_nil else df
+    # rows without an id stay: only what is known to be the NIL entry goes
+    return df.where(~F.col("parameter_id").eqNullSafe(NIL) & ~F.col("category_id").eqNullSafe(NIL_CATEGORY)) if remove_nil else df
 
 
 def scalar_series(df: DataFrame, run: str, tag: str) -> DataFrame:

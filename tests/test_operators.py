@@ -84,11 +84,15 @@ def test_fuzzy(spark):
     assert ids(retrieval.retrieve_fuzzy(rows, index, 1, 80, "string")) == {1: ["Q3"], 2: ["Q10"], 3: [], 4: ["Q4"]}
     assert ids(retrieval.retrieve_fuzzy(rows, index, 10, 80, "string", constrained=True)) == {1: ["Q3"], 2: [], 3: [], 4: ["Q4"]}
     assert ids(retrieval.retrieve_fuzzy(rows, index, 10, 80, "token"))[4] == ["Q4"]
+    ordered = index.withColumn("ord", F.when(F.col("token_key") == "b", 0).otherwise(1).cast("long"))
+    first = retrieval.top_k_in_order(retrieval.scored(retrieval.pairs(rows, ordered), "token", 80), ["m_key"], 2, 80)
+    assert {(r["rank"], r.parameter_id) for r in first.where("m_key = 'cl'").collect()} == {(1, "Q3"), (2, "Q2")}
     with pytest.raises(ValueError):
         retrieval.retrieve_fuzzy(rows, index, mode="other")
-    for mode in ("string", "token"):
+    # by tokens "cl" and "clr" reach 80, so that all three ids score 100 and the order of ids decides
+    for mode, best in (("string", "Q3"), ("token", "Q10")):
         swept = {(r.threshold, r.m_key): r.parameter_id for r in retrieval.sweep(retrieval.pairs(rows, index), [50, 80], mode).collect()}
-        assert swept[(80.0, "cl")] == "Q3" and (80.0, "zzz") not in swept
+        assert swept[(80.0, "cl")] == best and (80.0, "zzz") not in swept
 
 
 def test_dense(spark):
