@@ -1,4 +1,9 @@
-"""Corpus preparation: filter, deduplicate, decontaminate, mask and mix the documents table."""
+"""Corpus preparation: filter, deduplicate, decontaminate, mask and mix the documents table.
+
+All stages work on whole texts and take any further columns, which they hand on; an empty table gives an empty
+one with the same columns, and rows that repeat stay or go by the rules below. Columns that a stage adds while
+it works have names that the table does not have.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +14,37 @@ from lakelink.llm.common import read, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
+    """Documents that pass the base rules and are no outliers of their language and source.
+
+    Null and empty texts fail. Null languages and sources are values of their own; equal texts of one language
+    and source stay or go together.
+    """
     return quality.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the least id, null last; of rows that are the same one stays.
+
+    Empty texts, should there be any, all stay.
+    """
     return neardup.dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; without items, or without a word, all stay."""
     return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents, secrets masked."""
+    """The same documents, secrets masked; n_chars follows. A null text stays null."""
     return secrets.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose tokens follow the target shares of sources, languages and topics."""
+    """A sample whose tokens follow the target shares of sources, languages and topics, as far as these have tokens.
+
+    Rows that repeat an id stay or go together; a document without a word is not sampled.
+    """
     return mixing.sample(docs)
 
 
