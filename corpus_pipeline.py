@@ -43,7 +43,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose tokens follow the target shares of sources, languages and topics, as far as these have tokens.
 
-    Rows that repeat an id stay or go together; a document without a word is not sampled.
+    Rows that repeat an id stay or go together; a document without a word has the rate of its cell.
     """
     return mixing.sample(docs)
 
