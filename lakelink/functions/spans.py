@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The marks around a mention.
 OPEN, CLOSE = "[MENTION]", "[/MENTION]"
 #: Fixed value: the preamble of a sentence's context.
 TEXT_PREAMBLE = "The following context is provided to help you. It shows the sentence from which the mention is derived with the mention tagged."
@@ -31,7 +32,7 @@ def mention_window(text: Column, start: Column, end: Column, window: int = 0, sp
     """The mention's tokens with `window` tokens on either side; tags are tokens of their own.
 
     Tokens are runs of non-space and line feeds. Edge tokens stay whole. A span that starts or ends between
-    tokens raises an error.
+    tokens raises an error; without a text or a span there is no window (null).
     """
     if window == 0:
         inner = mention(text, start, end)
@@ -51,7 +52,8 @@ def mention_window(text: Column, start: Column, end: Column, window: int = 0, sp
         middle = F.concat(F.array(F.lit(open_)), middle, F.array(F.lit(close)))
     after = F.slice(tokens, last + 1, F.lit(window))
     out = F.array_join(F.concat(before, middle, after), " ")
-    return F.when(ok, out).otherwise(F.raise_error(F.lit("span does not align with tokens")).cast("string"))
+    given = text.isNotNull() & start.isNotNull() & end.isNotNull()
+    return F.when(~given, F.lit(None).cast("string")).when(ok, out).otherwise(F.raise_error(F.lit("span does not align with tokens")).cast("string"))
 
 
 def text_context(tagged_text: Column, preamble: str = TEXT_PREAMBLE) -> Column:

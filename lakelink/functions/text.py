@@ -83,6 +83,11 @@ def special_characters(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(names, t), t))
 
 
+def unique_tokens(tokens: Column) -> Column:
+    """Each token once, at its first place."""
+    return F.array_distinct(tokens)
+
+
 def canonical_text(col: Column, drugs: Sequence[str] = (), unicode: bool = True) -> Column:
     """The text after all rewrites, before tokens are taken."""
     text = remove_chemicals(remove_words(preprocess(col, unicode), drugs))

@@ -24,7 +24,8 @@ def in_invalid_context(text: Column, start: Column, end: Column, window: int = 1
     near = F.substring(low, begin + 1, end + window - begin)
     quoted = F.concat(F.lit("\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     pattern = F.concat(F.lit(BOTH), quoted, F.lit(r"[\s\-_/:]*(?:mic|pharmacodynamic|creatinine|cr)|"), quoted, F.lit(r"/fe|m\s*\+\s*"), quoted)
-    return F.coalesce(F.regexp_like(near, pattern), F.lit(False))
+    # the pattern is the mention's own and is compiled for each row: only where one fixed pattern says it could match
+    return F.coalesce(near.rlike(BOTH + r"mic|pharmacodynamic|cr|/fe|m\s*\+") & F.regexp_like(near, pattern), F.lit(False))
 
 
 def context_ids(text: Column, contexts) -> Column:
@@ -61,14 +62,16 @@ def link_exact(mentions: DataFrame, index: DataFrame, table_mentions: bool = Fal
     excluded = F.coalesce(is_excluded(F.col("mention")), F.lit(False)) | in_invalid_context(F.col("text"), start, end)
     n = F.coalesce(F.size("param_ids"), F.lit(0))
     found = found.withColumn("__n", F.when(excluded, -1).otherwise(F.greatest(n, F.lit(0))))
-    found = found.withColumn("__d", F.when(F.col("__n") > 1, disambiguate(F.col("param_ids"), preprocess(F.col("text")), resolve_km_default)))
+    # a column of its own, so that the rules run once for a text, and only where they are needed
+    found = found.withColumn("__said", F.when(F.col("__n") > 1, F.col("text"))).withColumn("__said", preprocess(F.col("__said")))
+    found = found.withColumn("__d", F.when(F.col("__n") > 1, disambiguate(F.col("param_ids"), F.col("__said"), resolve_km_default)))
     n, d, ids = F.col("__n"), F.col("__d"), F.col("param_ids")
     default = F.lit(table_mentions) & F.array_contains(ids, "Q57")
     known = F.array_contains(ids, "Q1") | F.array_contains(ids, "Q57")
     status = F.when(n < 0, "excluded").when(n == 0, "unlinked").when((n == 1) | default, "linked").when(d["param_id"].isNotNull(), "disambiguated").when(known, "multi").otherwise("unlinked")
     pred = F.when(n == 1, F.get(ids, 0)).when((n > 1) & default, F.lit("Q57")).when((n > 1) & d["param_id"].isNotNull(), d["param_id"]).otherwise(F.lit(rules.NIL))
     open_ = F.when((n > 1) & ~default & d["param_id"].isNull(), d["candidates"])
-    return found.withColumns({"status": status, "y_pred": pred, "potential_candidates": open_}).drop("__key", "__n", "__d", "param_ids")
+    return found.withColumns({"status": status, "y_pred": pred, "potential_candidates": open_}).drop("__key", "__n", "__said", "__d", "param_ids")
 
 
 def linked(results: DataFrame) -> DataFrame:

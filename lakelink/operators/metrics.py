@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,11 @@ def classification(df: DataFrame, true: str = "y_true", pred: str = "y_pred", by
     F1 is the mean over labels in either column; a label without hits has 0. Rows shrink to the confusion
     table before anything else.
     """
-    c = confusion(df, true, pred, by)
+    return scores(confusion(df, true, pred, by), by)
+
+
+def scores(c: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """The figures of classification() from a confusion table (by, y_true, y_pred, n)."""
     keys = [F.col(b) for b in by]
     hit = F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)
     sides = c.select(*keys, F.explode(F.array(F.struct(F.col("y_true").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said"), hit.alias("tp")), F.struct(F.col("y_pred").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("said"), F.lit(0).cast("long").alias("tp")))).alias("s"))
@@ -38,6 +44,21 @@ def classification(df: DataFrame, true: str = "y_true", pred: str = "y_pred", by
     return out.select(*keys, acc.alias("mic_p"), acc.alias("mic_r"), acc.alias("mic_f1"), "mac_f1", acc.alias("accuracy"), "n")
 
 
+def matched_metrics(df: DataFrame, matched: Column, true: str = "label", pred: str = "top_pred") -> DataFrame:
+    """The figures of classification() and matched_pct for three parts: combined, matched and unmatched rows.
+
+    matched_pct is the share of the part in all rows, per cent. A part without rows has n 0, a share of 0 and no
+    other figures; so have all three if there are no rows.
+    """
+    part = F.when(F.coalesce(matched, F.lit(False)), "matched").otherwise("unmatched")
+    cells = df.groupBy(part.alias("part"), F.col(true).alias("y_true"), F.col(pred).alias("y_pred")).agg(F.count("*").alias("n"))
+    cells = cells.withColumn("part", F.explode(F.array(F.lit("combined"), F.col("part")))).groupBy("part", "y_true", "y_pred").agg(F.sum("n").alias("n"))
+    parts = df.sparkSession.createDataFrame([("combined",), ("matched",), ("unmatched",)], "part string")
+    out = parts.join(scores(cells, ("part",)), "part", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    whole = df.agg(F.count("*").alias("__all"))
+    return out.crossJoin(F.broadcast(whole)).withColumn("matched_pct", F.coalesce(F.try_divide(F.col("n") * 100.0, F.col("__all")), F.lit(0.0))).drop("__all")  # one row
+
+
 def percent(col: Column) -> Column:
     """As shown: 87.50%."""
     return F.format_string("%.2f%%", col * 100)
@@ -76,6 +97,19 @@ def run_summary(runs: DataFrame, by: str = "run") -> DataFrame:
     return runs.agg(F.avg("mic_f1").alias("mean_f1"), F.stddev_pop("mic_f1").alias("std_f1"), F.floor(F.avg("n")).alias("mean_matched"), F.countDistinct(by).alias("runs"))
 
 
+def runs_by_source(answers: DataFrame, run: str = "run", true: str = "label", pred: str = "llm_pred") -> DataFrame:
+    """One row for each source and one, "all", for all rows: mean and population deviation of micro F1 over runs,
+    and the mean number of rows with an answer, cut to a whole one.
+
+    Rows without a source have the source "unknown". One label and one prediction a row: micro F1 is the share of hits.
+    """
+    hits = F.count_if(F.coalesce(F.col(true) == F.col(pred), F.lit(False)))
+    cells = answers.groupBy(F.col(run).alias("run"), F.coalesce("source", F.lit("unknown")).alias("source")).agg(F.count("*").alias("n"), hits.alias("hits"), F.count_if(~F.col("no_answer")).alias("answered"))
+    cells = cells.withColumn("source", F.explode(F.array(F.lit("all"), F.col("source"))))
+    runs = cells.groupBy("run", "source").agg((F.sum("hits") / F.sum("n")).alias("f1"), F.sum("answered").alias("answered"))
+    return runs.groupBy("source").agg(F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"), F.floor(F.avg("answered")).alias("mean_matched"), F.count("*").alias("runs"))
+
+
 def coverage(labels: DataFrame, ontology: DataFrame) -> DataFrame:
     """How many ontology ids occur as labels."""
     used = labels.where("label is not null").select(F.col("label").alias("parameter_id")).distinct()
@@ -131,13 +165,31 @@ def split_stats(labels: DataFrame, ontology: DataFrame) -> DataFrame:
 def moving_average(df: DataFrame, by: str, order: str, value: str, alpha: float = 0.1) -> DataFrame:
     """Exponential moving average seeded with the first value: (by, step, order, value, ema), step from 0.
 
-    The recurrence runs over each series' own ordered array; a series is one run's scalars.
+    The average is a weighted sum of the values so far. Windows over blocks of steps give each block's own part
+    of it; what came before a block is the own part at the end of the last one, and that of the one before, which
+    weighs 1e-100 or less by then: what is older does not show in a double. Equal orders go by value, rows without
+    a value are left out.
     """
-    series = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))))
-    ema = F.aggregate("s", F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x["v"]).otherwise(alpha * x["v"] + (1 - alpha) * F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))))))
-    out = df.groupBy(by).agg(series.alias("s"))
-    out = out.select(by, F.posexplode(F.arrays_zip(F.col("s"), ema.alias("ema"))).alias("step", "z"))
-    return out.select(by, "step", F.col("z.s.o").alias(order), F.col("z.s.v").alias(value), F.col("z.ema").alias("ema"))
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha has to be over 0 and at most 1")
+    keep = 1 - alpha
+    length = max(1, int(-100 * math.log(10) / math.log(keep))) if keep else 1
+    step = F.row_number().over(Window.partitionBy(by).orderBy(order, value)) - 1
+    rows = df.where(F.col(value).isNotNull()).select(by, order, value, step.alias("step"))
+    at = F.col("step") % length
+    rows = rows.withColumns({"__block": F.floor(F.col("step") / length), "__x": F.when(F.col("step") == 0, F.col(value)).otherwise(F.col(value) * alpha)})
+    upto = Window.partitionBy(by, "__block").orderBy("step")
+    later = F.sum(F.when(at > 0, F.col("__x") / F.pow(F.lit(keep), at))).over(upto)
+    own = F.pow(F.lit(keep), at) * (F.first("__x").over(upto) + F.coalesce(later, F.lit(0.0)))
+    rows = rows.withColumn("__own", own if keep else F.col("__x"))
+    ends = rows.where(at == length - 1).select(by, (F.col("__block") + 1).alias("__block"), F.col("__own").alias("__end"))
+    before = Window.partitionBy(by).orderBy("__block")
+    carried = F.col("__end") + F.lit(keep**length) * F.coalesce(F.lag("__end").over(before), F.lit(0.0))
+    # `before` orders the ends of blocks only, one row for each block
+    carry = ends.select(F.col(by).alias("__by"), F.col("__block").alias("__next"), carried.alias("__carry"))
+    rows = rows.join(carry, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__block") == F.col("__next")), "left")
+    ema = F.col("__own") + F.coalesce(F.pow(F.lit(keep), at + 1) * F.col("__carry"), F.lit(0.0))
+    return rows.select(by, "step", order, value, ema.alias("ema"))
 
 
 def selected(log: DataFrame, model: str | None = None, max_step: int | None = None) -> DataFrame:

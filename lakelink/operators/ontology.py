@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -65,11 +65,17 @@ def for_embedding(ontology: DataFrame, include_description: bool = True, include
     return texts.groupBy("text_feature").agg(F.max_by("parameter_id", "ord").alias("parameter_id")).select("parameter_id", "text_feature")
 
 
-def token_index(ontology: DataFrame, build: Callable[[Column], Column]) -> DataFrame:
-    """(token_key, tokens, param_ids): ids of all names and synonyms with the token set, in ontology order."""
+def token_index(ontology: DataFrame, build: Callable[[Column], Column], ordered: bool = False) -> DataFrame:
+    """(token_key, tokens, param_ids): ids of all names and synonyms with the token set, in ontology order.
+
+    ordered adds `ord`, the place of the token set by its first variant.
+    """
     names = F.concat(F.array("parameter_name"), F.filter("parameter_synonyms", lambda s: s != ""))
-    variants = ontology.select("ord", "parameter_id", F.explode(names).alias("variant"))
+    variants = ontology.select("ord", "parameter_id", F.posexplode(names).alias("pos", "variant"))
     keyed = variants.withColumn("tokens", build(F.col("variant"))).withColumn("token_key", token_key(F.col("tokens")))
-    once = keyed.groupBy("token_key", "parameter_id").agg(F.min("ord").alias("ord"), F.first("tokens").alias("tokens"))
+    once = keyed.groupBy("token_key", "parameter_id").agg(F.min("ord").alias("ord"), F.min(F.struct("ord", "pos")).alias("at"), F.first("tokens").alias("tokens"))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("ord", "parameter_id"))), lambda x: x["parameter_id"])
-    return once.groupBy("token_key").agg(F.array_sort(F.array_distinct(F.first("tokens"))).alias("tokens"), ids.alias("param_ids"))
+    out = once.groupBy("token_key").agg(F.array_sort(F.array_distinct(F.first("tokens"))).alias("tokens"), ids.alias("param_ids"), F.min("at").alias("at"))
+    if ordered:
+        out = out.withColumn("ord", F.row_number().over(Window.orderBy("at")) - 1)  # the ontology is a fixed list
+    return out.drop("at")

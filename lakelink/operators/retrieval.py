@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.embedding import Load, embedded, hashed
 from ..functions.similarity import best_ratios, cosine, indel_ratio, token_set_score
 from ..functions.text import token_key
 
@@ -30,14 +31,27 @@ def pairs(mentions: DataFrame, index: DataFrame, constrained: bool = False) -> D
     return m.withColumn("subset", F.lit("")).crossJoin(entries)
 
 
+def can_reach(mode: str, threshold: float) -> Column:
+    """Whether the best score that the sizes of both sides allow is at the threshold or above."""
+    if mode == "string":
+        a, b = (F.length(F.array_join(c, " ")) for c in ("m_tokens", "k_tokens"))
+        return F.coalesce(F.try_divide(F.least(a, b) * 200.0, a + b), F.lit(100.0)) >= threshold
+    if mode == "token":
+        a, b = F.size("m_tokens"), F.size("k_tokens")
+        return F.try_divide(a * 100.0, F.greatest(a, b)) >= threshold
+    raise ValueError("mode must be 'token' or 'string'")
+
+
 def scored(candidates: DataFrame, mode: str = "string", threshold: float = 80) -> DataFrame:
-    """Candidates with score; token mode counts tokens that reach the threshold, string mode joins tokens."""
+    """Candidates with score; token mode counts tokens that reach the threshold, string mode joins tokens.
+
+    Candidates whose lengths alone keep them below the threshold are left out before they are scored.
+    """
+    candidates = candidates.where(can_reach(mode, threshold))
     if mode == "string":
         score = indel_ratio(F.array_join("m_tokens", " "), F.array_join("k_tokens", " "))
-    elif mode == "token":
-        score = token_set_score(F.col("m_tokens"), F.col("k_tokens"), threshold)
     else:
-        raise ValueError("mode must be 'token' or 'string'")
+        score = token_set_score(F.col("m_tokens"), F.col("k_tokens"), threshold)
     keys = candidates.select("m_key", "m_tokens", "key", "k_tokens").distinct().withColumn("score", score)
     return candidates.join(keys.select("m_key", "key", "score"), ["m_key", "key"])
 
@@ -45,7 +59,7 @@ def scored(candidates: DataFrame, mode: str = "string", threshold: float = 80) -
 def top_k_in_order(rows: DataFrame, by: list[str], k: int, threshold: float, place: str = "place") -> DataFrame:
     """Like top_k, but equal scores keep the order of the index: that of the first place with the best score."""
     best = rows.where(F.col("score") >= threshold).groupBy(*by, "parameter_id").agg(F.max(F.struct("score", (-F.col(place)).alias("back"))).alias("best"))
-    order = Window.partitionBy(*by).orderBy(F.desc("best"))
+    order = Window.partitionBy(*by).orderBy(F.desc("best"), "parameter_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*by, "parameter_id", F.col("best.score").alias("score"), "rank")
 
 
@@ -79,6 +93,7 @@ def sweep(candidates: DataFrame, thresholds: list[float], mode: str = "string")
         base = scored(candidates, "string", min(thresholds))
         rows = base.where(F.col("score") >= min(thresholds)).withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
     else:
+        candidates = candidates.where(can_reach(mode, min(thresholds)))
         keys = candidates.select("m_key", "m_tokens", "key", "k_tokens").distinct().withColumn("best", best_ratios(F.col("m_tokens"), F.col("k_tokens")))
         keys = keys.withColumn("threshold", F.explode(F.array(*(F.lit(float(t)) for t in thresholds))))
         n = F.size(F.filter("best", lambda x: x >= F.col("threshold")))
@@ -100,14 +115,34 @@ def dense_top_k(scores: DataFrame, k: int, digits: int | None = None) -> DataFra
     return scores.withColumn("score", score).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def retrieve_dense(mentions: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, threshold: float = 0.8, constrained: bool = True) -> DataFrame:
+def retrieve_dense(mentions: DataFrame, queries: DataFrame, corpus: DataFrame, k: int = 10, threshold: float = 0.8, constrained: bool = True, digits: int | None = None) -> DataFrame:
     """Threshold and constraint apply after the cut at k; an empty list holds an explicit NIL.
 
-    A mention without a vector is left out.
+    A mention without a vector is left out. digits: see dense_top_k.
     """
-    found = dense_top_k(dense_scores(queries.where("q_vec is not null"), corpus), k).where(F.col("score") >= threshold)
+    found = dense_top_k(dense_scores(queries.where("q_vec is not null"), corpus), k, digits).where(F.col("score") >= threshold)
     lists = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "parameter_id", "score"))).alias("retrieved"))
     out = mentions.join(queries.where("q_vec is not null").select("query_id"), "query_id", "left_semi").join(lists, "query_id", "left")
     if constrained:
         out = out.withColumn("retrieved", F.filter("retrieved", lambda r: F.array_contains("subsetted_concepts", r["parameter_id"])))
     return judged(out, explicit_nil=True)
+
+
+def retrieve_texts(mentions: DataFrame, feature: str, entries: DataFrame, load: Load = hashed, k: int = 10, threshold: float = 0.8, constrained: bool = True, digits: int | None = None) -> DataFrame:
+    """retrieve_dense of texts, with the outcome of each mention.
+
+    entries: (ord, parameter_id, text_feature). Both sides are embedded, each distinct text once; an entry's text
+    stands for the last id that has it. mentions: `feature`, label and, if constrained, subsetted_concepts; one
+    without a text is left out.
+    """
+    ids = entries.groupBy("text_feature").agg(F.max_by("parameter_id", "ord").alias("parameter_id"))
+    corpus = embedded(ids, "text_feature", load, "c_vec").select("parameter_id", "c_vec")
+    texts = mentions.where(F.col(feature).isNotNull()).select(F.col(feature).alias("query_id")).distinct()
+    queries = embedded(texts, "query_id", load, "q_vec")
+    found = retrieve_dense(mentions.withColumn("query_id", F.col(feature)), queries, corpus, k, threshold, constrained, digits)
+    return found.drop("query_id").withColumn("outcome", outcome())
+
+
+def outcome(label: str = "label", pred: str = "top_pred") -> Column:
+    """right; not_matched for a wrong NIL; incorrect for another wrong id. A row without a label is wrong."""
+    return F.when(F.col(label) == F.col(pred), "right").when(F.col(pred) == rules.NIL, "not_matched").otherwise("incorrect")

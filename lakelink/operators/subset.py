@@ -39,22 +39,22 @@ def prioritised(categories: Column, tiers=rules.PRIORITIES) -> Column:
     return out
 
 
-def with_subset(df: DataFrame, ontology: DataFrame, tokens: str, mention: str, key: str, categories=rules.CATEGORIES, parameters=rules.PARAMETER_GROUPS, tiers=rules.PRIORITIES) -> DataFrame:
-    """df with categories, subsetted_concepts and subset_matched; `key` identifies rows of distinct patterns.
+def with_subset(df: DataFrame, ontology: DataFrame, tokens: str, mention: str, categories=rules.CATEGORIES, parameters=rules.PARAMETER_GROUPS, tiers=rules.PRIORITIES) -> DataFrame:
+    """df with categories, subsetted_concepts and subset_matched.
 
-    Categories are expanded by an equi-join on the exploded category and gathered again for each distinct
-    category set, not for each row.
+    Each pattern is tried once for a row: what it gives is a column before anything refers to it. The ids of the
+    table's categories come as one row, a map by category; a row's ids are those of its categories.
     """
-    df = df.withColumn("categories", prioritised(match_categories(F.col(tokens), F.col(mention), categories), tiers))
-    df = df.withColumn("__set", F.array_join("categories", ","))
-    sets = df.select("__set", "categories").distinct()
-    ids = sets.select("__set", F.explode("categories").alias("category_id")).join(ontology.select("category_id", "parameter_id").distinct(), "category_id").groupBy("__set").agg(F.array_sort(F.collect_set("parameter_id")).alias("__ids"))
-    df = df.join(ids, "__set", "left")
+    df = df.withColumn("__said", matches(F.col(tokens), categories))
+    df = df.withColumn("categories", F.when(F.size("__said") > 0, F.col("__said")).otherwise(matches(F.col(mention), categories)))
+    df = df.withColumn("categories", prioritised(F.col("categories"), tiers))
     none = F.array().cast(NO_IDS)
-    by_pattern = F.array_sort(match_parameters(F.col(tokens), F.col(mention), parameters))
-    concepts = F.when(F.size("categories") > 0, F.coalesce("__ids", none)).otherwise(by_pattern)
-    out = df.withColumn("subsetted_concepts", concepts)
-    return out.withColumn("subset_matched", (F.size("categories") > 0) | (F.size("subsetted_concepts") > 0)).drop("__set", "__ids")
+    known = ontology.where(F.col("category_id").isin(*(c for c, _ in categories))).groupBy("category_id").agg(F.collect_set("parameter_id").alias("ids"))
+    by_category = known.agg(F.map_from_entries(F.collect_list(F.struct("category_id", "ids"))).alias("__ids"))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform("categories", lambda c: F.coalesce(F.try_element_at("__ids", c), none)))))
+    concepts = F.when(F.size("categories") > 0, ids).otherwise(F.array_sort(match_parameters(F.col(tokens), F.col(mention), parameters)))
+    out = df.crossJoin(F.broadcast(by_category)).withColumn("subsetted_concepts", concepts)  # one row, as large as the ontology
+    return out.withColumn("subset_matched", (F.size("categories") > 0) | (F.size("subsetted_concepts") > 0)).drop("__said", "__ids")
 
 
 def with_ontology_text(df: DataFrame, ontology: DataFrame) -> DataFrame:

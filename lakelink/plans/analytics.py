@@ -41,9 +41,11 @@ def confusion(spark, d):
     return metrics.confusion(judged(spark, d))
 
 
-@query(f"WITH {J} SELECT y_true, y_pred, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY y_true), 6) AS share, 0 AS true_last, 0 AS pred_last FROM j GROUP BY 1, 2")
+@query(f"""WITH {J}, named AS (SELECT CASE y_true WHEN '0' THEN 'NIL' ELSE y_true END AS y_true, CASE y_pred WHEN '0' THEN 'NIL' ELSE y_pred END AS y_pred FROM j)
+SELECT y_true, y_pred, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY y_true), 6) AS share, (y_true = 'NIL')::INTEGER AS true_last, (y_pred = 'NIL')::INTEGER AS pred_last FROM named GROUP BY 1, 2""")
 def confusion_norm(spark, d):
-    return metrics.normalised_confusion(judged(spark, d)).withColumn("share", F.round("share", 6))
+    rows = judged(spark, d).replace("0", "NIL", ["y_true", "y_pred"])
+    return metrics.normalised_confusion(rows).withColumn("share", F.round("share", 6))
 
 
 @query(f"WITH {J} SELECT doc_id, y_true, y_pred FROM j WHERE y_true <> y_pred ORDER BY doc_id LIMIT 100")

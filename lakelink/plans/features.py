@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, spans, text
-from ..functions.rules import CHEMICALS
+from ..functions.rules import CHEMICALS, NIL, NIL_CATEGORY
 from ..operators import ontology as onto
 from ..operators.prompt import count_tokens
-from ..sources.tables import parse_synonyms
+from ..session import scratch
+from ..sources.tables import append_jsonl, first_rows, load_ontology, parse_synonyms, read_jsonl, write_jsonl
+from .cases import MENTION_TOKENS, dealt, dealt_sql
 from .data import MENT, ONTO, mentions, ontology, table, toks
 
 QUERIES: dict = {}
@@ -53,10 +55,27 @@ def untag_mention(spark, d):
     return docs(spark, d).select("doc_id", F.md5(spans.untagged(spans.tagged(F.col("text"), F.col("s"), F.col("e")))).alias("untagged"))
 
 
+WINDOW = "CASE WHEN m <> '' THEN array_to_string(list_concat(toks[greatest(1, n - 4):n], ['[MENTION]', m, '[/MENTION]'], toks[n + 2:n + 6]), ' ') END"
+
+
+@query(f"WITH {DOCS} SELECT doc_id, substr(text, s + 1, e - s) AS plain, md5(substr(text, 1, s) || '[MENTION]' || substr(text, s + 1, e - s) || '[/MENTION]' || substr(text, e + 1)) AS tagged FROM docs")
+def mention_feature(spark, d):
+    args = F.col("text"), F.col("s"), F.col("e")
+    return docs(spark, d).select("doc_id", spans.mention_feature(*args, special_tokens=False).alias("plain"), F.md5(spans.mention_feature(*args)).alias("tagged"))
+
+
+@query(rf"""WITH {DOCS}, t AS (SELECT doc_id, substr(text, s + 1, e - s) AS m, regexp_extract_all(text, '\S+|\n') AS toks, len(regexp_extract_all(pre, '\S+|\n')) AS n, substr(text, 1, s) || '[MENTION]' || substr(text, s + 1, e - s) || '[/MENTION]' || substr(text, e + 1) AS tagged FROM docs)
+SELECT doc_id, CASE WHEN m <> '' THEN m END AS mention, {WINDOW} AS mention_with_window, CASE WHEN m <> '' THEN md5(tagged) END AS tagged, md5('{spans.TEXT_PREAMBLE}' || CASE WHEN m <> '' THEN chr(10) || tagged ELSE '' END) AS context FROM t""")
+def prep_text(spark, d):
+    given = F.when(F.col("e") > F.col("s"), F.array(F.struct(F.col("s").alias("start"), F.col("e").alias("end"))))
+    out = spans.prep_text(docs(spark, d).select("doc_id", "text", given.alias("spans")))
+    return out.select("doc_id", "mention", "mention_with_window", F.md5("text_with_tagged_mention").alias("tagged"), F.md5("text_context_llm").alias("context"))
+
+
 @query(rf"""WITH {DOCS}, t AS (SELECT doc_id, substr(text, s + 1, e - s) AS m, regexp_extract_all(text, '\S+|\n') AS toks, len(regexp_extract_all(pre, '\S+|\n')) AS n FROM docs)
-SELECT doc_id, array_to_string(list_concat(toks[greatest(1, n - 4):n], ['[MENTION]', m, '[/MENTION]'], toks[n + 2:n + 6]), ' ') AS mention_with_window FROM t WHERE m <> ''""")
+SELECT doc_id, {WINDOW} AS mention_with_window FROM t""")
 def mention_window(spark, d):
-    rows = docs(spark, d).where("e > s")
+    rows = docs(spark, d).withColumns({c: F.when(F.col("e") > F.col("s"), F.col(c)) for c in ("s", "e")})
     return rows.select("doc_id", spans.mention_window(F.col("text"), F.col("s"), F.col("e"), 5).alias("mention_with_window"))
 
 
@@ -136,6 +155,48 @@ def llm_table_context(spark, d):
     return region_tables(spark, d).select("region", F.md5(html.llm_context(html.row_context(*args), F.lit(""), F.lit("f"))).alias("context"))
 
 
+@query(f"""WITH {NATIONS} SELECT region, 'EU' AS mention, 'in [MENTION]EU[/MENTION]' AS tagged, 'in [MENTION]EU[/MENTION]' || chr(10) || '[ROW] | in [MENTION]EU[/MENTION] | ' || max(k) FILTER (pos = 0) || ' |' || chr(10) || '[COLUMN] | in [MENTION]EU[/MENTION] | ' || string_agg(n_name, ' | ' ORDER BY pos) FILTER (pos BETWEEN 1 AND 3) || ' |' AS retrieval,
+  md5('{html.TABLE_PREAMBLE.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}' || chr(10) || '[ROW] | in [MENTION]EU[/MENTION] | ' || max(k) FILTER (pos = 0) || ' |' || chr(10) || '[COLUMN] | in [MENTION]EU[/MENTION] | ' || string_agg(n_name, ' | ' ORDER BY pos) FILTER (pos BETWEEN 1 AND 3) || ' |' || chr(10) || '[FOOTER] f') AS llm FROM n GROUP BY region""")
+def prep_table(spark, d):
+    spot = F.array(F.struct(F.lit(3).alias("start"), F.lit(5).alias("end")))
+    rows = region_tables(spark, d).select("region", "table_html", F.lit("in EU").alias("text"), spot.alias("spans"), F.lit(0).alias("row_idx"), F.lit(0).alias("col_idx"), F.lit(" f ").alias("footer"))
+    out = html.prep_table(rows)
+    return out.select("region", "mention", F.col("text_with_tagged_mention").alias("tagged"), F.col("table_context_retrieval").alias("retrieval"), F.md5("table_context_llm").alias("llm"))
+
+
+# --- files ---
+
+
+@query("""SELECT lang AS label, text, source, 1::INTEGER AS start, 3::INTEGER AS "end" FROM documents UNION ALL SELECT lang, 'more', source, 1, 3 FROM documents""")
+def jsonl_files(spark, d):
+    folder = scratch(spark)
+    spot = F.array(F.struct(F.lit(1).alias("start"), F.lit(3).alias("end"))).alias("spans")
+    rows = table(spark, d, "documents").select("text", spot, F.col("lang").alias("label"), "source")
+    write_jsonl(rows, folder)
+    append_jsonl(rows.withColumn("text", F.lit("more")), folder)
+    spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(folder)
+    return read_jsonl(spark, folder).select("label", "text", "source", F.col("spans")[0]["start"].alias("start"), F.col("spans")[0]["end"].alias("end"))
+
+
+@query("""SELECT CASE WHEN p_partkey % 9 > 0 THEN 'G' || p_size END AS category_id, CASE WHEN p_partkey % 10 > 0 THEN 'Q' || (p_partkey + 1000) END AS parameter_id, trim(p_name) AS parameter_name, p_brand || '|' || p_type AS synonyms, CASE WHEN p_partkey % 4 > 0 THEN p_type ELSE '' END AS units FROM part WHERE p_partkey % 11 > 0""")
+def ontology_csv(spark, d):
+    folder = scratch(spark)
+    k = F.col("p_partkey")
+    gone = k % 11 == 0
+    rows = table(spark, d, "part").select(
+        F.when(gone & (k % 2 == 0), NIL_CATEGORY).when(k % 9 > 0, F.concat(F.lit("G"), F.col("p_size").cast("string"))).alias("category_id"), F.lit("c").alias("parameter_category"),
+        F.when(gone & (k % 2 > 0), NIL).when(k % 10 > 0, F.concat(F.lit("Q"), (k + 1000).cast("string"))).alias("parameter_id"), F.concat(F.lit(" "), "p_name").alias("parameter_name"),
+        F.format_string("['%s', \"%s\"]", "p_brand", "p_type").alias("parameter_synonyms"), F.lit(None).cast("string").alias("parameter_description"), F.when(k % 4 > 0, F.col("p_type")).alias("units"))
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(folder)
+    out = load_ontology(spark, folder)
+    return out.select("category_id", "parameter_id", "parameter_name", F.array_join("parameter_synonyms", "|").alias("synonyms"), "units")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY lang, doc_id LIMIT 25")
+def first_documents(spark, d):
+    return first_rows(table(spark, d, "documents").select("doc_id", "lang"), 25, "lang", "doc_id")
+
+
 # --- ontology texts ---
 
 
@@ -183,8 +244,7 @@ def pre_sql(x: str) -> str:
 
 @query(f"SELECT doc_id, md5({pre_sql('text')}) AS preprocessed FROM documents")
 def basic_preprocess(spark, d):
-    df = text.tokenised(table(spark, d, "documents").select("doc_id", "text"), "text", lambda c: F.md5(text.preprocess(c)), "preprocessed")
-    return df.select("doc_id", "preprocessed")
+    return table(spark, d, "documents").select("doc_id", F.md5(text.preprocess(F.col("text"))).alias("preprocessed"))
 
 
 @query(rf"SELECT doc_id, len(list_filter(string_split_regex({pre_sql('text')}, '\s+'), lambda w: w <> ''))::INTEGER AS n FROM documents")
@@ -220,9 +280,27 @@ def drug_removal(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.remove_words(F.col("text"), ("the", "und", "les", "que"))).alias("kept"))
 
 
-@query(rf"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '(?i)\b(?:{'|'.join(CHEMICALS)})\b', '', 'g'), '\s+', ' ', 'g'))) AS kept FROM documents")
+@query(f"SELECT p_partkey, {dealt_sql(MENTION_TOKENS, 'p_partkey')} AS mention, array_to_string(list_sort(string_split({dealt_sql(MENTION_TOKENS.values(), 'p_partkey')}, ' ')), ' ') AS tokens FROM part")
+def pk_rules(spark, d):
+    df = text.tokenised(table(spark, d, "part").select("p_partkey", dealt(MENTION_TOKENS, "p_partkey").alias("mention")), "mention", text.pk_tokens)
+    return df.select("p_partkey", "mention", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query("SELECT p_partkey, array_to_string([p_brand, CASE p_partkey % 3 WHEN 0 THEN 'lambda' WHEN 1 THEN 'alpha' ELSE 'percentage' END, 'zeta'], ' ') AS tokens FROM part")
+def special_tokens(spark, d):
+    sign = F.when(F.col("p_partkey") % 3 == 0, "λ").when(F.col("p_partkey") % 3 == 1, "α").otherwise("%")
+    tokens = F.array("p_brand", sign, F.col("p_brand"), F.lit("z"), sign)
+    return table(spark, d, "part").select("p_partkey", F.array_join(text.unique_tokens(text.special_characters(tokens)), " ").alias("tokens"))
+
+
+NAMED = f"{dealt_sql(CHEMICALS, 'doc_id')} || ' ' || text || ' Un' || {dealt_sql(CHEMICALS, 'doc_id')} || ' ' || upper({dealt_sql(CHEMICALS, 'doc_id')})"
+
+
+@query(rf"SELECT doc_id, md5(trim(regexp_replace(regexp_replace({NAMED}, '(?i)\b(?:{'|'.join(CHEMICALS)})\b', '', 'g'), '\s+', ' ', 'g'))) AS kept FROM documents")
 def chemical_removal(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(text.remove_chemicals(F.col("text"))).alias("kept"))
+    word = dealt(CHEMICALS, "doc_id")
+    said = F.concat(word, F.lit(" "), "text", F.lit(" Un"), word, F.lit(" "), F.upper(word))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.remove_chemicals(said)).alias("kept"))
 
 
 @query(r"SELECT role, count(*) AS n, sum(len(regexp_extract_all(text, '\S+')))::BIGINT AS tokens FROM conversations GROUP BY role")

@@ -8,8 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lakelink.functions.embedding import embedded
 from lakelink.functions.similarity import cosine, indel, indel_ratio, token_set_score
-from lakelink.operators import exact, metrics, prompt, retrieval, subset, training
+from lakelink.operators import exact, metrics, ontology, prompt, retrieval, subset, training
 
 MENTION = "text string, spans array<struct<start:int,end:int>>, mention string, tokens array<string>, label string"
 INDEX = "token_key string, tokens array<string>, param_ids array<string>"
@@ -68,10 +69,10 @@ def test_exact_cascade(spark):
 def test_subset(spark):
     df = spark.createDataFrame([("auc t", "auc0-t"), ("v c", "v and c"), ("km", "km"), ("zz ratio", "zz"), ("zz", "zz")], "t string, m string")
     ontology = spark.createDataFrame([("G1", "Q88"), ("G4", "Q32"), ("G6", "Q51"), ("G9", "Q1"), ("G8", "Q9")], "category_id string, parameter_id string")
-    got = {r.t: (r.categories, r.subsetted_concepts, r.subset_matched) for r in subset.with_subset(df, ontology, "t", "m", "t").collect()}
+    got = {r.t: (r.categories, r.subsetted_concepts, r.subset_matched) for r in subset.with_subset(df, ontology, "t", "m").collect()}
     assert got["auc t"] == (["G1"], ["Q88"], True) and got["v c"] == (["G4"], ["Q32"], True) and got["km"] == (["G9"], ["Q1"], True)
     assert got["zz ratio"] == ([], ["Q21", "Q31", "Q33", "Q35", "Q58", "Q93"], True) and got["zz"] == ([], [], False)
-    labelled = subset.with_subset(df, ontology, "t", "m", "t").withColumn("label", F.when(F.col("t") == "zz", "Q100").otherwise("Q88"))
+    labelled = subset.with_subset(df, ontology, "t", "m").withColumn("label", F.when(F.col("t") == "zz", "Q100").otherwise("Q88"))
     m = subset.evaluate_subsets(labelled, ontology).first()
     assert (m.total, m.matched, m.correct_matched, m.correct_unmatched, m.total_nil) == (5, 4, 1, 1, 1) and m.overall_accuracy == 0.4
 
@@ -131,9 +132,9 @@ def test_sets_and_pairs(spark):
     kept = training.without(a, b, ["text", "start"])
     assert sorted(map(tuple, kept.collect()), key=str) == [("x", 1), (None, 2)] or kept.count() == 2
     assert training.partition_check(a, b, kept).first().ok
-    ontology = spark.createDataFrame([("Q1", "G1"), ("Q2", "G1"), ("Q3", "G2")], "parameter_id string, category_id string")
+    entries = spark.createDataFrame([("Q1", "G1"), ("Q2", "G1"), ("Q3", "G2")], "parameter_id string, category_id string")
     m = spark.createDataFrame([(1, "m", "Q1"), (2, "n", " q100 ")], "mention_id int, mention string, label string")
-    pairs = training.training_pairs(m, ontology, hard=5, rand=1).collect()
+    pairs = training.training_pairs(m, entries, hard=5, rand=1).collect()
     assert sorted((r.kind, r.parameter_id) for r in pairs if r.kind != "random") == [("hard", "Q2"), ("positive", "Q1")] and all(r.parameter_id != "Q1" for r in pairs if r.label == 0)
 
 
@@ -150,3 +151,96 @@ def test_prompts(spark):
     assert text == "---\nMention:\nm\n---\n\n---\nTask Examples:\ne\n---\n\n---\nOntology:\n\no\n---"
     cost = prompt.cost(rows, "gpt-4o", F.lit(1000)).first()
     assert cost.average_cost == pytest.approx(0.00257) and math.isclose(cost.total_cost, 0.01028)
+
+
+def test_moving_average_of_a_long_series(spark):
+    rng = random.Random(5)
+    values = [rng.uniform(-5, 5) for _ in range(3000)]
+    df = spark.createDataFrame([(k, i, v) for k in ("a", None) for i, v in enumerate(values)] + [("a", 4000, None)], "run string, at int, value double")
+    for alpha in (0.1, 0.9, 1.0):
+        want = []
+        for v in values:
+            want.append(v if not want else alpha * v + (1 - alpha) * want[-1])
+        got = metrics.moving_average(df, "run", "at", "value", alpha).collect()
+        for run in ("a", None):
+            assert [r.ema for r in sorted((r for r in got if r.run == run), key=lambda r: r.step)] == pytest.approx(want, rel=1e-9, abs=1e-9)
+    with pytest.raises(ValueError):
+        metrics.moving_average(df, "run", "at", "value", 0.0)
+
+
+def test_matched_metrics(spark):
+    rows = spark.createDataFrame([("a", "a", True), ("b", "a", True), ("Q100", "Q100", False), ("a", None, None)], "label string, top_pred string, is_matched boolean")
+    got = {r.part: (r.n, r.matched_pct, r.mic_f1) for r in metrics.matched_metrics(rows, F.col("is_matched")).collect()}
+    assert got == {"combined": (4, 100.0, 0.5), "matched": (2, 50.0, 0.5), "unmatched": (2, 50.0, 0.5)}
+    none = {r.part: (r.n, r.matched_pct, r.mic_f1) for r in metrics.matched_metrics(rows.limit(0), F.col("is_matched")).collect()}
+    assert none == {p: (0, 0.0, None) for p in ("combined", "matched", "unmatched")}
+    assert spark.range(1).select(metrics.percent(F.lit(0.875)).alias("p")).first().p == "87.50%"
+
+
+def test_runs_by_source(spark):
+    rows = [(0, "x", "a", "a", False), (0, None, "a", "b", True), (1, "x", "a", "b", False), (1, None, "a", "a", False)]
+    got = {r.source: (r.mean_f1, r.std_f1, r.mean_matched, r.runs) for r in metrics.runs_by_source(spark.createDataFrame(rows, "run int, source string, label string, llm_pred string, no_answer boolean")).collect()}
+    assert got == {"all": (0.5, 0.0, 1, 2), "x": (0.5, 0.5, 1, 2), "unknown": (0.5, 0.5, 0, 2)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=6), max_size=3), st.lists(st.text("abc", min_size=1, max_size=6), max_size=3), st.integers(1, 100))
+def test_lengths_never_drop_a_match(a, b, threshold):
+    """The bound on lengths is no less than the score, by characters and by tokens."""
+    x, y = " ".join(a), " ".join(b)
+    assert indel(x, y) <= (200.0 * min(len(x), len(y)) / (len(x) + len(y)) if x or y else 100.0)
+    hits = sum(max((indel(s, t) for t in b), default=0.0) >= threshold for s in a)
+    assert hits <= len(a)
+
+
+def test_length_bound(spark):
+    index = spark.createDataFrame([("a", ["abcd"], ["Q1"]), ("b", ["abcdefghij"], ["Q2"]), ("c", [], ["Q3"])], INDEX)
+    rows = spark.createDataFrame([(["abcd"],), ([],)], "tokens array<string>")
+    kept = {(r.m_key, r.parameter_id): r.score for r in retrieval.scored(retrieval.pairs(rows, index), "string", 60).collect()}
+    assert kept == {("abcd", "Q1"): 100.0, ("", "Q3"): 100.0}
+
+
+def test_texts_by_embedding(spark):
+    entries = spark.createDataFrame([(0, "Q1", "abc"), (1, "Q2", "abc"), (2, "Q3", "zzz")], "ord int, parameter_id string, text_feature string")
+    rows = spark.createDataFrame([(1, "cab", "Q2", ["Q2"]), (2, "zz", "Q2", ["Q3"]), (3, "abc", "Q2", []), (4, None, "Q2", ["Q2"]), (5, "abc", "Q2", ["Q2"]), (6, "", "Q100", ["Q2"])], "i int, said string, label string, subsetted_concepts array<string>")
+    got = {r.i: (r.top_pred, r.outcome) for r in retrieval.retrieve_texts(rows, "said", entries, k=2, threshold=0.9).collect()}
+    assert got == {1: ("Q2", "right"), 2: ("Q3", "incorrect"), 3: ("Q100", "not_matched"), 5: ("Q2", "right"), 6: ("Q100", "right")}
+
+
+def test_embedding_keeps_rows_and_loads_in_the_worker(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, None), (4, "")], "i int, t string")
+    got = {r.i: r.vector for r in embedded(df, "t", batch=1).collect()}
+    assert got[1] == got[2] and got[3] is None and got[4] == [0.0] * 16 and sum(x * x for x in got[1]) == pytest.approx(1)
+    assert {r.i: r.v for r in embedded(df, "t", name="v", normalise=False).collect()}[1] == [0.0, 1.0, 1.0] + [0.0] * 13
+
+
+def test_negatives_are_distinct_and_spread(spark):
+    ontology = spark.createDataFrame([(f"Q{i}", f"G{i % 4}") for i in range(40)], "parameter_id string, category_id string")
+    m = spark.createDataFrame([(i, "m", f"Q{i % 45}") for i in range(900)], "mention_id int, mention string, label string")
+    rows = training.training_pairs(m, ontology, hard=3, rand=5).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.mention_id, r.kind), []).append(r.parameter_id)
+    for i in range(900):
+        gold, known = f"Q{i % 45}", i % 45 < 40
+        hard, rand = by.get((i, "hard"), []), by[(i, "random")]
+        assert len(set(rand)) == 5 and gold not in rand and by[(i, "positive")] == [gold]
+        assert len(set(hard)) == (3 if known else 0) and gold not in hard and all(int(h[1:]) % 4 == i % 45 % 4 for h in hard)
+    drawn = [x for (_, kind), ids in by.items() if kind == "random" for x in ids]
+    counts = [drawn.count(f"Q{i}") for i in range(40)]
+    assert min(counts) > 60 and max(counts) < 170
+    everything = training.training_pairs(m.limit(1), ontology, hard=99, rand=99).collect()
+    assert sorted(r.parameter_id for r in everything if r.kind == "random") == sorted(f"Q{i}" for i in range(40) if f"Q{i}" != everything[0].parameter_id)
+
+
+def test_evaluation_inputs(spark):
+    entries = spark.createDataFrame([("Q1", "one")], "parameter_id string, text_feature string")
+    m = spark.createDataFrame([(1, "a", "Q1"), (2, "b", "Q100"), (3, "c", None)], "mention_id int, mention string, label string")
+    queries, corpus, relevant = training.evaluation_inputs(m, entries)
+    assert queries.count() == 3 and [tuple(r) for r in corpus.collect()] == [("Q1", "one")] and [tuple(r) for r in relevant.collect()] == [("mention_1", "Q1")]
+
+
+def test_index_order(spark):
+    rows = spark.createDataFrame([(5, "Q10", "b a", ["c"]), (2, "Q2", "a b", []), (1, "Q3", "d", ["c"])], "ord int, parameter_id string, parameter_name string, parameter_synonyms array<string>")
+    got = {r.token_key.replace("\u0001", " "): (r.ord, r.param_ids) for r in ontology.token_index(rows, lambda c: F.split(c, " "), ordered=True).collect()}
+    assert got == {"d": (0, ["Q3"]), "c": (1, ["Q3", "Q10"]), "a b": (2, ["Q2", "Q10"])}

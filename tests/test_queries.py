@@ -49,3 +49,23 @@ def test_streaming_link(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.sql("SELECT * FROM linked").collect()] == [("linked", "Q2")]
+
+
+@pytest.mark.parametrize("name", ["dense_threshold", "dense_retrieve", "pk_rules", "category_rules", "exact_ambiguous", "fuzzy_index_order", "jsonl_files", "ontology_csv"])
+def test_rows_that_can_fail(spark, name):
+    """Queries whose rows would compare nothing if they were empty."""
+    assert catalog.QUERIES[name](spark, SF.replace("0.001", "0.01")).count() > 0
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from lakelink.session import scratch
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError):
+        scratch(Session())
