@@ -29,10 +29,40 @@ KEY, SPANS = "__row_key", "__row_spans"
 
 @dataclass
 class Windows:
-    """Benchmark windows by length: sorted hashes, and for each the (words, item) pairs behind it."""
+    """Benchmark windows as flat arrays, by length and hash.
 
-    hashes: dict[int, np.ndarray] = field(default_factory=dict)
-    behind: dict[int, dict[int, list[tuple[bytes, str]]]] = field(default_factory=dict)
+    hashes: the distinct hashes of each length, sorted, and the first row of each (with one more at the end). A row
+    is a window of an item: its words lie in `words` from byte at[row] to at[row + 1], its item is names[item[row]].
+    """
+
+    hashes: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    words: bytes = b""
+    at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int32))
+    item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    names: list[str] = field(default_factory=list)
+
+    def items(self, size: int, k: int, said: bytes) -> set[str]:
+        """Items with the words, among those behind the k-th hash of a length."""
+        first = self.hashes[size][1]
+        return {self.names[self.item[r]] for r in range(first[k], first[k + 1]) if self.words[self.at[r] : self.at[r + 1]] == said}
+
+
+def packed(rows: pa.Table) -> Windows:
+    """rows: (item, size, words, hash)."""
+    if not rows.num_rows:
+        return Windows()
+    rows = rows.combine_chunks()
+    size, hashes = rows.column("size").to_numpy(), rows.column("hash").to_numpy().view(np.uint64)
+    order = np.lexsort((hashes, size))
+    rows, size, hashes = rows.take(pa.array(order)).combine_chunks(), size[order], hashes[order]
+    words, item = rows.column("words").chunk(0), rows.column("item").chunk(0).dictionary_encode()
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    found = Windows({}, words.buffers()[2].to_pybytes(), at, item.indices.to_numpy(), item.dictionary.to_pylist())
+    for n in np.unique(size).tolist():
+        lo, hi = np.searchsorted(size, [n, n + 1])
+        distinct, first = np.unique(hashes[lo:hi], return_index=True)
+        found.hashes[n] = distinct, np.append(first, hi - lo) + lo
+    return found
 
 
 def item_windows(text: str | None, n: int) -> list[list[bytes]]:
@@ -70,11 +100,7 @@ def blocks(benchmark: DataFrame, n: int = 10, block: int = 1 << 20) -> tuple[int
     def each():
         for k in range(parts):
             part = rows if parts == 1 else rows.where(F.pmod(F.hash("hash"), F.lit(parts)) == k)
-            found = Windows()
-            for r in part.toLocalIterator():
-                found.behind.setdefault(r["size"], {}).setdefault(r["hash"], []).append((bytes(r["words"]), r["item"]))
-            found.hashes = {size: np.sort(np.array(list(x), np.int64).view(np.uint64)) for size, x in found.behind.items()}
-            yield found
+            yield packed(part.toArrow())
 
     return parts, each()
 
@@ -89,7 +115,7 @@ def hits(column: pa.Array, found: Windows):
         hit = np.zeros(len(w.start), bool)
         items: list[set[str]] = [set() for _ in range(docs)]
         doc = w.doc()
-        for size, known in found.hashes.items():
+        for size, (known, _) in found.hashes.items():
             grams = tb.rolling(h, size)
             if not len(grams):
                 continue
@@ -99,7 +125,7 @@ def hits(column: pa.Array, found: Windows):
                 if doc[i] != doc[i + size - 1]:
                     continue
                 said = b" ".join(w.text(j) for j in range(i, i + size))
-                ok = {item for words, item in found.behind[size].get(int(grams[i : i + 1].view(np.int64)[0]), ()) if words == said}
+                ok = found.items(size, at[i], said)
                 if ok:
                     hit[i : i + size] = True
                     items[doc[i]] |= ok

@@ -157,3 +157,43 @@ def mcd(v):
         if best is None or det < best[0]:
             best = det, v[half].mean(0), np.cov(v[half].T, bias=True)
     return best[1:]
+
+
+def toxic(model, text: str | None) -> float:
+    """Score of a text, feature by feature."""
+    import numpy as np
+
+    from lakelink.llm import textbuf, toxicity
+
+    shift, found = 64 - toxicity.BITS, set()
+    for w in BENCH_WORD.findall((text or "").translate(UPPER)):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        found.add(int(textbuf.word_hashes(textbuf.words(raw, np.array([0, len(raw)]), textbuf.ALNUM))[0]) >> shift)
+        marked = b"^" + w.encode() + b"$"
+        for i in range(len(marked) - 4):
+            found.add(int(textbuf.mix(np.array([int.from_bytes(marked[i : i + 5], "big") + 7], np.uint64))[0]) >> shift)
+    return 1 / (1 + math.exp(-(model.bias + sum(float(model.weights[f]) for f in found))))
+
+
+def secret_scores(model, text: str) -> list[tuple[int, int, float]]:
+    """(start, end, share of trees) of the candidates of an ASCII text."""
+    from pyspark.ml.linalg import Vectors
+
+    from lakelink.llm import secrets
+
+    spans = [m.span(2) if m.group(2) is not None else m.span(3) for m in re.finditer(secrets.PATTERN, text)]
+    out = []
+    for i, (start, end) in enumerate(spans):
+        v = text[start:end][: secrets.HEAD]
+        b = text[spans[i - 1][1] if i else 0 : start][-secrets.NEAR :]
+        a = text[end : spans[i + 1][0] if i + 1 < len(spans) else len(text)][: secrets.NEAR]
+        c = "".join("l" if "a" <= x <= "z" else "u" if "A" <= x <= "Z" else "d" if "0" <= x <= "9" else "o" for x in v)
+        n = len(v)
+        has = lambda pattern, x: float(bool(re.search(pattern, x)))
+        f = [
+            min(n, 200), (n - len(re.sub("lu|ul|ld|dl|ud|du|lo|ol|do|od|uo|ou", "", c))) / n, len(re.sub(r"(.)\1*", r"\1", c)) / n, len(set(v)) / min(n, 40), c.count("d") / n, c.count("u") / n,
+            len(re.findall(secrets.PAIRS, v.lower())) / n, (n - len(re.sub(secrets.WORDS, "", v.lower()))) / n, len(re.findall("[/._-]", v)) / n,
+            has(secrets.KEY_START, v), has(r"[=:][ \t\"']*$", b), has(secrets.SECRET_NEAR, b), has(secrets.OTHER_NEAR, b + " " + a), has("^[0-9a-f]+$|^[0-9A-F]+$", v), has("^[0-9 ._+-]+$", v),
+        ]
+        out.append((start, end, sum(t.predict(Vectors.dense(f)) for t in model.trees) / len(model.trees)))
+    return out

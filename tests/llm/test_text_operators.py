@@ -95,6 +95,33 @@ def test_pii_matches_the_rules(docs, rows):
     assert out == sorted(((r[0], 0, brute.sha(pii.joined(brute.pii(r[1])))) for r in rows), key=str)
 
 
+def test_planted_personal_data_is_found():
+    """Every planted span of every kind is found, and clean prose has none."""
+    rng, machine = random.Random(22), pii.automaton()
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card():
+        while not pii.luhn(d := "4" + digits(15)):
+            pass
+        return rng.choice([d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), "-".join(d[i : i + 4] for i in range(0, 16, 4))])
+
+    def iban():
+        body = digits(18)
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    kinds = {
+        "email": lambda: ("", f"{prose(rng, 1).strip(',.').lower().strip()}.{digits(2)}@mail.example.org", ""), "ip": lambda: ("", ".".join(str(rng.randint(0, 255)) for _ in range(4)), ""), "card": lambda: ("", card(), ""),
+        "phone": lambda: ("", f"+49 ({digits(3)}) {digits(3)}-{digits(4)}", ""), "iban": lambda: ("IBAN ", iban(), "."), "ssn": lambda: ("ssn: ", f"{digits(3)}-{digits(2)}-{digits(4)}", ""), "login": lambda: ("https://", f"user{digits(2)}:{digits(6)}", "@host/"),
+    }
+    for kind, make in kinds.items():
+        for _ in range(100):
+            before, said, after = make()
+            head = prose(rng, 10).replace(".", ",") + " " + before
+            found = pii.spans(f"{head}{said}{after} {prose(rng, 10)}", machine)
+            assert (kind, len(head), len(head) + len(said)) in found, (kind, said, found)
+    assert not any(pii.spans(prose(rng, 200), machine) for _ in range(50))
+
+
 def test_decontamination(spark, docs, rows, empty):
     words = rows[4][1].split()
     items = [(1, " ".join(words[5:25])), (2, "Two, WORDS"), (3, None), (4, ""), (5, rows[70][1]), (5, "é é é"), (10, " ".join(words[8:18]).upper()), (None, "one")]
@@ -351,6 +378,9 @@ def test_toxicity(spark, empty):
     out = {r.doc_id: r.score for r in toxicity.score(docs, model, [F.col("doc_id")]).collect()}
     right = [(out[i] >= 0.5) == (i % 5 == 0) for i in range(400, 600)]
     assert sum(right) >= 198 and 0 <= out[9000] == out[9001] < 0.5
+    for i in (0, 1, 7, 420, 9001):
+        assert out[i] == pytest.approx(brute.toxic(model, texts[i] if i < 9000 else ""), rel=1e-6)
+    assert toxicity.score(empty, model, [F.col("doc_id")]).count() == 0
     none = toxicity.fit(docs, labels.limit(0), F.lit(True))
     assert all(r.score < 1e-9 for r in toxicity.score(docs, none, [F.col("doc_id")]).collect())
 
@@ -368,6 +398,13 @@ def test_secrets(spark, empty):
     own = spark.createDataFrame([(1, f"\ue0f0 a\ue0f1 token = \"{key}\" \ue0f0 password=b7db7aa4a5fcc78305 \ue0f1", 1, 2, 3)], "doc_id int, text string, __c int, row int, found int")
     got = secrets.redact(own)
     assert got.columns == own.columns and tuple(got.first()) == (1, '\ue0f0 a\ue0f1 token = "<SECRET>" \ue0f0 password=<SECRET> \ue0f1', 1, 2, 3)
+    # every candidate's score, from features in plain Python and the trees of the forest
+    model = secrets.forest(secrets.findings(spark))
+    said = [t.replace("é", "e") for t in texts if t] + [f"token={key} md5 {key[:32]} password: your_password_here", "-----BEGIN PRIVATE KEY-----AbC123 xyz eyJabcdefghij12.eyJabcdefghij34.abcdef"]
+    scored = secrets.scan(spark.createDataFrame([*enumerate(said)], "doc_id int, text string")).select("row.doc_id", "found").collect()
+    for r in scored:
+        want = brute.secret_scores(model, said[r.doc_id])
+        assert [(x.start, x.end) for x in r.found] == [w[:2] for w in want] and [x.score for x in r.found] == pytest.approx([w[2] for w in want])
     assert secrets.redact(empty).count() == secrets.digest(empty, [F.col("doc_id")]).count() == 0
     blob = spark.createDataFrame([(1, "password=" + key * 50_000)], "doc_id int, text string")
     assert secrets.digest(blob, [F.col("doc_id")]).first().n_candidates == 1
