@@ -71,7 +71,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         out = stored(step)
         # a value whose cells all have weight 0 cannot be raked
         off = [out.groupBy(m).agg(F.abs(F.sum("w") - F.max(goal)).alias("off"), F.sum("w").alias("w")).where("w > 0").agg(F.max("off").alias("off")) for m, goal in zip(MARGINS[:-1], goals, strict=False)]
-        if max((r["off"] or 0.0 for r in off[0].unionByName(off[1]).toLocalIterator()), default=0.0) <= tolerance:
+        # read within the query: a local iterator outlasts it, while its shuffle files go with it
+        if (off[0].unionByName(off[1]).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
     return out.drop(*goals)
 

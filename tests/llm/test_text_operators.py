@@ -439,6 +439,21 @@ def test_rates_fill_the_sample(spark):
     assert got[0] == pytest.approx(0.9 * sum(r[3] for r in rows)) and got[1] <= 1
 
 
+def test_raking_reads_nothing_after_its_query(spark, monkeypatch):
+    """Shuffle files go with the query that wrote them; the jobs of a local iterator run after its end."""
+    rows = [(f"s{i % 3}", f"l{i % 4}", "t", 10 + i) for i in range(12)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+
+    def late(*_, **__):
+        raise AssertionError("rows read after the end of their query")
+
+    monkeypatch.setattr(type(cells), "toLocalIterator", late)
+    raked = mixing.rake(cells, {m: mixing.tempered(cells, m, 0.7) for m in mixing.MARGINS})
+    for m in mixing.MARGINS[:2]:
+        want = {r["value"]: r.share for r in mixing.tempered(cells, m, 0.7).collect()}
+        assert {r[m]: r.w for r in raked.groupBy(m).agg(F.sum("w").alias("w")).collect()} == pytest.approx(want)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
