@@ -7,8 +7,8 @@ one SQL expression over the candidates of a text, so that scanning needs no join
 
 The labelled findings default to those of findings(): made from rules, as no table holds any. A null text
 has no findings and stays null; an empty one stays empty. Offsets are code points. Repeated rows give repeated
-findings, equal candidates equal scores. Texts are scanned whole; features of a candidate are taken from its
-first `HEAD` characters. Outside secrets a text keeps all of its characters. Columns may have any name.
+findings, equal candidates equal scores. Texts are scanned whole; features of a candidate are taken from all
+of its characters. Outside secrets a text keeps all of its characters. Columns may have any name.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import cut
 OPEN, CLOSE = "\ue0f0", "\ue0f1"
 MASK = "<SECRET>"
 NEAR = 40
-HEAD = 1000
+HEAD = None  # features take no beginning of a candidate, but all of it
 
 #: Parameters: patterns of cues and of key shapes that services publish.
 CUE = r"""(?i:(?:api|access|auth|secret|private|client|session|aws)?[_-]?(?:key|token|secret|password|passwd|pwd|credential)(?:s|_?id)?)["']?\s{0,3}(?:=>|:=|=|:)\s{0,3}["']?"""
@@ -51,7 +51,7 @@ FEATURES = {
     "length": "least(length(v), 200)",
     "changes": "(length(c) - length(regexp_replace(c, '(lu|ul|ld|dl|ud|du|lo|ol|do|od|uo|ou)', ''))) / length(v)",
     "runs": "length(regexp_replace(c, '(.)\\\\1*', '$1')) / length(v)",
-    "variety": "size(array_distinct(split(v, ''))) / least(length(v), 40)",
+    "variety": "size(array_distinct(flatten(transform(regexp_extract_all(v, '(?s).{1,4096}', 0), x -> array_distinct(split(x, '')))))) / least(length(v), 40)",
     "digits": "(length(c) - length(replace(c, 'd', ''))) / length(v)",
     "capitals": "(length(c) - length(replace(c, 'u', ''))) / length(v)",
     "pairs": f"regexp_count(lower(v), '{PAIRS}') / length(v)",
@@ -182,7 +182,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     """row (all columns), found (an array of start, end and score by candidate), hits (secrets), redacted."""
     labelled = labelled if labelled is not None else findings(docs.sparkSession)
     vote = forest_sql(forest(labelled), "f")
-    scored = f"transform(c, c -> named_struct('start', c.start, 'end', c.start + length(c.v), 'score', transform(array({feature_sql(f'left(c.v, {HEAD})', 'c.b', 'c.a')}), f -> {vote})[0]))"
+    scored = f"transform(c, c -> named_struct('start', c.start, 'end', c.start + length(c.v), 'score', transform(array({feature_sql('c.v', 'c.b', 'c.a')}), f -> {vote})[0]))"
     out = candidates(docs).withColumn("found", F.expr(scored)).withColumn("hits", F.filter("found", lambda x: x["score"] >= threshold))
     masked = f"""concat(pieces[0], array_join(transform(found, (x, i) -> concat(
         if(x.score >= {threshold}D, '{MASK}', c[i].v), substring_index(pieces[i + 1], '{CLOSE}', -1))), ''))"""

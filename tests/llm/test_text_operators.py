@@ -413,6 +413,20 @@ def test_secrets(spark, empty):
     assert row.spans.split(",") == [f"{m.start(1)}:{m.end(1)}" for m in re.finditer(r"token=(\w+)", many)]
 
 
+def test_secrets_are_judged_by_the_whole_candidate(spark):
+    """What follows the first thousand characters of a candidate counts."""
+    rng = random.Random(4)
+    key = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(9000))
+    said = ["password=" + "x" * 1000 + key, "password=" + "x" * 10_000]
+    df = spark.createDataFrame([*enumerate(said)], "doc_id int, text string")
+    got = {r.doc_id: r for r in secrets.scan(df).select("row.doc_id", "found", "redacted").collect()}
+    model = secrets.forest(secrets.findings(spark))
+    for i, text in enumerate(said):
+        (want,) = brute.secret_scores(model, text)
+        assert [(x.start, x.end) for x in got[i].found] == [want[:2]] and got[i].found[0].score == pytest.approx(want[2])
+    assert got[0].redacted == "password=<SECRET>" and got[1].redacted == said[1]
+
+
 def test_mixing(spark, docs, empty):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randint(20, 200)) + rng.choice(["", " License", " a | b"]), rng.choice(["en", "en", "de", None]), rng.choice("ab"), 0) for i in range(400)]
