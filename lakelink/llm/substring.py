@@ -27,6 +27,7 @@ from .common import cut
 
 WORD_BITS = 15  # bits of an index within a shipped piece of the bit map
 ROW = 1 << 16
+FEW = 1 << 20  # hashes that the driver takes as they are, 8 MB; beyond, executors pack them
 
 
 def anchors(w: tb.Words, length: int, gram: int):
@@ -95,12 +96,17 @@ def count_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def bit_map(found: DataFrame, max_bits: int) -> np.ndarray:
     """One bit for each hash of the one column, in a power of two of bits: 16 a hash, at most max_bits."""
     col = found.columns[0]
-    bits, goal = 16, min(16 * found.count(), max_bits)
+    n = found.count()
+    bits, goal = 16, min(16 * n, max_bits)
     while 1 << bits < goal:
         bits += 1
     out = np.zeros(1 << (bits - 3), np.uint8)
     index = F.shiftrightunsigned(col, 64 - bits)
-    rows = found.select(F.shiftrightunsigned(index, WORD_BITS).alias("piece"), index.bitwiseAND((1 << WORD_BITS) - 1).cast("int").alias("at")).distinct()
+    if n <= FEW:
+        at = found.select(index.alias("at")).toArrow().column("at").to_numpy()
+        np.bitwise_or.at(out, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
+        return out
+    rows = found.select(F.shiftrightunsigned(index, WORD_BITS).alias("piece"), index.bitwiseAND((1 << WORD_BITS) - 1).cast("int").alias("at"))
 
     def pack(batches):
         held: dict[int, np.ndarray] = {}
@@ -112,9 +118,11 @@ def bit_map(found: DataFrame, max_bits: int) -> np.ndarray:
                 held.setdefault(int(p), np.zeros(1 << WORD_BITS, bool))[part] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in held.values()], pa.binary())], ["piece", "bits"])
 
+    # all pieces in one job: they are at most max_bits, and a local iterator runs a job for each partition
     step = 1 << (WORD_BITS - 3)
-    for r in rows.repartition("piece").mapInArrow(pack, "piece long, bits binary").toLocalIterator():
-        out[r["piece"] * step : (r["piece"] + 1) * step] |= np.frombuffer(r["bits"], np.uint8)
+    pieces = rows.repartition("piece").mapInArrow(pack, "piece long, bits binary").toArrow()
+    for piece, part in zip(pieces.column("piece").to_pylist(), pieces.column("bits"), strict=True):
+        out[piece * step : (piece + 1) * step] |= np.frombuffer(part.as_buffer(), np.uint8)
     return out
 
 

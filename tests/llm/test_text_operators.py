@@ -181,6 +181,24 @@ def test_substrings_with_a_full_bit_map(docs, rows):
     assert got == sorted(((d, n) for d, _, n, _ in brute.repeats(pairs(rows))), key=str)
 
 
+def test_bit_maps_take_one_job_for_all_partitions(spark, monkeypatch):
+    """The same bits whether the driver or the executors pack them, and no job for each partition."""
+    rng = random.Random(3)
+    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(5000)]
+    found = spark.createDataFrame([(x,) for x in hashes], "id long").repartition(61)
+
+    def each(*_, **__):
+        raise AssertionError("a job for each partition")
+
+    monkeypatch.setattr(type(found), "toLocalIterator", each)
+    few = substring.bit_map(found, 1 << 27)
+    monkeypatch.setattr(substring, "FEW", 0)
+    many = substring.bit_map(found, 1 << 27)
+    at = sorted({(x % (1 << 64)) >> 47 for x in hashes})
+    assert len(few) == 1 << 14 and np.flatnonzero(np.unpackbits(few, bitorder="little")).tolist() == at
+    assert (few == many).all() and substring.among(many, np.array(hashes).view(np.uint64)).all()
+
+
 def test_language_model(docs, rows, empty):
     rest = F.crc32(F.col("doc_id").cast("string")) % 5
     out = pst.score(docs, docs.where(rest != 1), [F.col("doc_id"), F.coalesce(rest == 1, F.lit(False)).alias("held_out")], depth=3, head=16)
