@@ -32,6 +32,8 @@ REST = "prose"
 ROUNDS, TOLERANCE, TEMPER, SHARE, SEED = 100, 1e-9, 0.7, 0.6, "mix-1"
 WORD = r"[^\x20\x09-\x0D]+"
 CELL_ROWS = 100_000
+#: Cells that one task rakes; beyond it each margin shuffles them.
+TASK_ROWS = 10_000
 
 
 def topic(topics=TOPICS) -> Column:
@@ -56,21 +58,24 @@ def chance(seed: str, doc_id: Column) -> Column:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells (source, lang, topic, tokens) with w, raked to targets (value, share) of each margin.
 
-    Each round is one plan over a written table, with a window's sum for each margin.
+    Each round is one plan over a written table, with a window's sum for each margin; up to `TASK_ROWS` cells stay
+    in one partition, as a shuffle for each margin and round costs the driver more than the sums.
     """
     goals = [f"goal_{m}" for m in MARGINS]
     out = cells.withColumn("w", F.col("tokens").cast("double"))
     for m, goal in zip(MARGINS, goals, strict=True):
         out = out.join(targets[m].select(F.col("value").alias(m), F.col("share").alias(goal)), m, "left")
     out = stored(out.fillna(0.0, goals))
+    few = out.count() <= TASK_ROWS
     for _ in range(rounds):
-        step = out
+        step = out.coalesce(1) if few else out
         for m, goal in zip(MARGINS, goals, strict=True):
             now = F.sum("w").over(Window.partitionBy(m))
             step = step.withColumn("now", now).withColumn("w", F.when(F.col("now") > 0, F.col("w") * (F.col(goal) / F.col("now"))).otherwise(F.lit(0.0))).drop("now")
         out = stored(step)
+        last = out.coalesce(1) if few else out
         # a value whose cells all have weight 0 cannot be raked
-        off = [out.groupBy(m).agg(F.abs(F.sum("w") - F.max(goal)).alias("off"), F.sum("w").alias("w")).where("w > 0").agg(F.max("off").alias("off")) for m, goal in zip(MARGINS[:-1], goals, strict=False)]
+        off = [last.groupBy(m).agg(F.abs(F.sum("w") - F.max(goal)).alias("off"), F.sum("w").alias("w")).where("w > 0").agg(F.max("off").alias("off")) for m, goal in zip(MARGINS[:-1], goals, strict=False)]
         # read within the query: a local iterator outlasts it, while its shuffle files go with it
         if (off[0].unionByName(off[1]).agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from lakelink.llm import decontam, langid, mixing, neardup, pii, pst, quality, secrets, substring, textbuf, toxicity  # noqa: E402
+from lakelink.llm import common, decontam, langid, mixing, neardup, pii, pst, quality, secrets, substring, textbuf, toxicity  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it".split()
@@ -486,6 +486,35 @@ def test_raking_reads_nothing_after_its_query(spark, monkeypatch):
         assert {r[m]: r.w for r in raked.groupBy(m).agg(F.sum("w").alias("w")).collect()} == pytest.approx(want)
 
 
+def test_raking_of_few_cells_shuffles_nothing(spark, monkeypatch):
+    """Rounds over a small table are one task each, with the weights that shuffled rounds give."""
+    rows = [(f"s{i % 3}", f"l{i % 4}", f"t{i % 5}", 10 + i) for i in range(60)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long").groupBy(*mixing.MARGINS).agg(F.sum("tokens").alias("tokens"))
+    targets = {m: mixing.tempered(cells, m, 0.7) for m in mixing.MARGINS}
+    plans, stored = [], mixing.stored
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(mixing, "stored", seen)
+    one = {tuple(r[m] for m in mixing.MARGINS): r.w for r in mixing.rake(cells, targets).collect()}
+    rounds, plans[:] = plans[1:], []
+    assert rounds and not any("Exchange" in p for p in rounds)
+    monkeypatch.setattr(mixing, "TASK_ROWS", 0)
+    many = {tuple(r[m] for m in mixing.MARGINS): r.w for r in mixing.rake(cells, targets).collect()}
+    assert len(one) == 60 and one == pytest.approx(many, rel=1e-9) and any("Exchange" in p for p in plans[1:])
+
+
+def test_driver_gives_back_what_it_freed(spark, monkeypatch):
+    """Each written table and checkpoint does so first; the allocator keeps freed pages otherwise."""
+    assert common.give_back(spark)
+    done, give_back = [], common.give_back
+    monkeypatch.setattr(common, "give_back", lambda session: done.append(give_back(session)))
+    assert common.stored(spark.range(3)).count() == common.cut(spark.range(3)).count() == 3
+    assert done == [True, True]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
