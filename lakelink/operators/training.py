@@ -69,10 +69,10 @@ def training_pairs(mentions: DataFrame, ontology: DataFrame, hard: int = 1, rand
     return positive.unionByName(alike).unionByName(every)
 
 
-def evaluation_inputs(mentions: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def evaluation_inputs(mentions: DataFrame, entries: DataFrame, nil: str = rules.NIL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What a retrieval evaluator takes: queries (query_id, text), corpus (parameter_id, text) and relevant
     (query_id, parameter_id) pairs, none for mentions without a label or with NIL."""
     query_id = F.concat(F.lit("mention_"), F.col("mention_id").cast("string")).alias("query_id")
     queries = mentions.select(query_id, F.col("mention").alias("text"))
-    relevant = mentions.where(F.col("label") != rules.NIL).select(query_id, F.col("label").alias("parameter_id"))
+    relevant = mentions.where(F.col("label") != nil).select(query_id, F.col("label").alias("parameter_id"))
     return queries, entries.select("parameter_id", F.col("text_feature").alias("text")), relevant
