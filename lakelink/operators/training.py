@@ -36,7 +36,7 @@ def draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("long")
 
 
-def training_pairs(mentions: DataFrame, ontology: DataFrame, hard: int = 1, rand: int = 1, seed: str = "0") -> DataFrame:
+def training_pairs(mentions: DataFrame, ontology: DataFrame, hard: int = 1, rand: int = 1, seed: str = "0", nil: str = rules.NIL) -> DataFrame:
     """(mention_id, mention, parameter_id, kind, label): one positive, hard negatives of the same category,
     random negatives of all; never the gold id, none twice; NIL mentions give none.
 
@@ -45,7 +45,7 @@ def training_pairs(mentions: DataFrame, ontology: DataFrame, hard: int = 1, rand
     equi-join on the rank and never all of them. An id in several categories counts in the last.
     """
     ids = ontology.where("parameter_id is not null").groupBy("parameter_id").agg(F.max("category_id").alias("category_id"))
-    gold = mentions.where(F.upper(F.trim(F.col("label").cast("string"))) != rules.NIL).select("mention_id", "mention", F.col("label").alias("gold"))
+    gold = mentions.where(F.upper(F.trim(F.col("label").cast("string"))) != nil.upper()).select("mention_id", "mention", F.col("label").alias("gold"))
     positive = gold.select("mention_id", "mention", F.col("gold").alias("parameter_id"), F.lit("positive").alias("kind"), F.lit(1.0).alias("label"))
 
     def negatives(kind: str, n: int, rows: DataFrame, entries: DataFrame) -> DataFrame:

@@ -30,6 +30,9 @@ def shifted(spark, tmp_path_factory):
 
 @pytest.mark.parametrize("name", [
     "evaluation_inputs",
+    "hard_negatives",
+    "random_negatives",
+    "training_pairs",
 ])
 def test_same_rows_with_an_entry_q100(spark, shifted, name):
     folder, con = shifted
