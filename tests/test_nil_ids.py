@@ -34,6 +34,8 @@ def shifted(spark, tmp_path_factory):
     "random_negatives",
     "training_pairs",
     "label_distribution",
+    "mrr_recall",
+    "dense_retrieve",
 ])
 def test_same_rows_with_an_entry_q100(spark, shifted, name):
     folder, con = shifted
