@@ -58,9 +58,9 @@ def embedding_feature(include_description: bool = True, include_units: bool = Tr
     return F.concat_ws(" ", *parts)
 
 
-def for_embedding(ontology: DataFrame, include_description: bool = True, include_units: bool = True) -> DataFrame:
+def for_embedding(ontology: DataFrame, include_description: bool = True, include_units: bool = True, nil: str = rules.NIL) -> DataFrame:
     """(parameter_id, text_feature) with lower-cased names; of equal texts the last counts."""
-    texts = ontology.where(F.col("parameter_id") != rules.NIL).withColumn("parameter_name", F.lower("parameter_name"))
+    texts = ontology.where(F.col("parameter_id") != nil).withColumn("parameter_name", F.lower("parameter_name"))
     texts = texts.select("ord", "parameter_id", embedding_feature(include_description, include_units).alias("text_feature"))
     return texts.groupBy("text_feature").agg(F.max_by("parameter_id", "ord").alias("parameter_id")).select("parameter_id", "text_feature")
 

@@ -12,7 +12,7 @@ from ..operators.prompt import count_tokens
 from ..session import scratch
 from ..sources.tables import append_jsonl, first_rows, load_ontology, parse_synonyms, read_jsonl, write_jsonl
 from .cases import MENTION_TOKENS, dealt, dealt_sql
-from .data import MENT, ONTO, mentions, ontology, table, toks
+from .data import MENT, NO_ENTRY, ONTO, mentions, ontology, table, toks
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -208,7 +208,7 @@ def ontology_llm_block(spark, d):
 
 @query(f"WITH {ONTO} SELECT parameter_id, '[PARAM] ' || parameter_name || ' [SYN] ' || parameter_synonyms[1] || ' [DESC] ' || parameter_description || ' [UNIT] ' || units AS text_feature FROM onto")
 def ontology_embed_feature(spark, d):
-    return onto.for_embedding(ontology(spark, d))
+    return onto.for_embedding(ontology(spark, d), nil=NO_ENTRY)
 
 
 @query("SELECT p_partkey, array_to_string(CASE p_partkey % 4 WHEN 0 THEN [p_name, p_brand] WHEN 1 THEN [p_name, p_type] WHEN 2 THEN []::VARCHAR[] ELSE [p_name, p_type] END, '|') AS synonyms FROM part")

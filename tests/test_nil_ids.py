@@ -36,6 +36,7 @@ def shifted(spark, tmp_path_factory):
     "label_distribution",
     "mrr_recall",
     "dense_retrieve",
+    "ontology_embed_feature",
 ])
 def test_same_rows_with_an_entry_q100(spark, shifted, name):
     folder, con = shifted
