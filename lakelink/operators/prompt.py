@@ -37,12 +37,12 @@ def parsed(response: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
 
 
-def grounded(df: DataFrame, names: DataFrame, response: str = "response") -> DataFrame:
+def grounded(df: DataFrame, names: DataFrame, response: str = "response", nil: str = rules.NIL) -> DataFrame:
     """df with llm_pred (NIL without a usable answer) and no_answer."""
     known = names.groupBy(F.lower(F.trim("parameter_name")).alias("__a")).agg(F.max("parameter_id").alias("__id"))
     df = df.withColumn("__a", parsed(F.col(response))).join(known, "__a", "left")
-    said = F.when(F.col("__a").isin("nil", "n/a", "none"), F.lit(rules.NIL)).otherwise(F.col("__id"))
-    return df.withColumns({"llm_pred": F.coalesce(said, F.lit(rules.NIL)), "no_answer": said.isNull()}).drop("__a", "__id")
+    said = F.when(F.col("__a").isin("nil", "n/a", "none"), F.lit(nil)).otherwise(F.col("__id"))
+    return df.withColumns({"llm_pred": F.coalesce(said, F.lit(nil)), "no_answer": said.isNull()}).drop("__a", "__id")
 
 
 Client = Callable[[Sequence[str]], Sequence[str]]

@@ -37,6 +37,7 @@ def shifted(spark, tmp_path_factory):
     "mrr_recall",
     "dense_retrieve",
     "ontology_embed_feature",
+    "runs_by_source",
 ])
 def test_same_rows_with_an_entry_q100(spark, shifted, name):
     folder, con = shifted
