@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import BOTH
-from .ontology import llm_block
+from .ontology import llm_block, llm_entry
 
 NO_IDS = "array<string>"
 
@@ -22,12 +22,16 @@ def match_categories(tokens: Column, mention: Column, table=rules.CATEGORIES) ->
     return F.when(F.size(first) > 0, first).otherwise(matches(mention, table))
 
 
+def hits(text: Column, table) -> Column:
+    """Ids of the groups whose pattern the text holds."""
+    none = F.array().cast(NO_IDS)
+    return F.array_distinct(F.flatten(F.array(*(F.when(text.rlike(BOTH + p), F.array(*map(F.lit, ids))).otherwise(none) for p, ids in table))))
+
+
 def match_parameters(tokens: Column, mention: Column, table=rules.PARAMETER_GROUPS) -> Column:
     """Parameter ids by pattern, with the same fall-through."""
-    none = F.array().cast(NO_IDS)
-    hits = lambda text: F.array_distinct(F.flatten(F.array(*(F.when(text.rlike(BOTH + p), F.array(*map(F.lit, ids))).otherwise(none) for p, ids in table))))
-    first = hits(tokens)
-    return F.when(F.size(first) > 0, first).otherwise(hits(mention))
+    first = hits(tokens, table)
+    return F.when(F.size(first) > 0, first).otherwise(hits(mention, table))
 
 
 def prioritised(categories: Column, tiers=rules.PRIORITIES) -> Column:
@@ -46,27 +50,43 @@ def with_subset(df: DataFrame, ontology: DataFrame, tokens: str, mention: str, c
     table's categories come as one row, a map by category; a row's ids are those of its categories.
     """
     df = df.withColumn("__said", matches(F.col(tokens), categories))
-    df = df.withColumn("categories", F.when(F.size("__said") > 0, F.col("__said")).otherwise(matches(F.col(mention), categories)))
+    other = F.col("__said") if tokens == mention else matches(F.col(mention), categories)
+    df = df.withColumn("categories", F.when(F.size("__said") > 0, F.col("__said")).otherwise(other))
     df = df.withColumn("categories", prioritised(F.col("categories"), tiers))
+    # likewise the parameters, which count where there is no category
+    df = df.withColumn("__given", F.when(F.size("categories") == 0, hits(F.col(tokens), parameters)))
+    if tokens != mention:
+        df = df.withColumn("__given", F.when(F.size("__given") == 0, hits(F.col(mention), parameters)).otherwise(F.col("__given")))
     none = F.array().cast(NO_IDS)
     known = ontology.where(F.col("category_id").isin(*(c for c, _ in categories))).groupBy("category_id").agg(F.collect_set("parameter_id").alias("ids"))
     by_category = known.agg(F.map_from_entries(F.collect_list(F.struct("category_id", "ids"))).alias("__ids"))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("categories", lambda c: F.coalesce(F.try_element_at("__ids", c), none)))))
-    concepts = F.when(F.size("categories") > 0, ids).otherwise(F.array_sort(match_parameters(F.col(tokens), F.col(mention), parameters)))
+    concepts = F.when(F.size("categories") > 0, ids).otherwise(F.array_sort("__given"))
     out = df.crossJoin(F.broadcast(by_category)).withColumn("subsetted_concepts", concepts)  # one row, as large as the ontology
-    return out.withColumn("subset_matched", (F.size("categories") > 0) | (F.size("subsetted_concepts") > 0)).drop("__said", "__ids")
+    return out.withColumn("subset_matched", (F.size("categories") > 0) | (F.size("subsetted_concepts") > 0)).drop("__said", "__given", "__ids")
 
 
 def with_ontology_text(df: DataFrame, ontology: DataFrame) -> DataFrame:
-    """df with ontology_subset, formatted once for each distinct set; the whole ontology where none matched."""
-    df = df.withColumn("__c", F.array_join("categories", ",")).withColumn("__p", F.when(F.size("categories") == 0, F.array_join("subsetted_concepts", ",")).otherwise(""))
-    sets = df.select("__c", "__p").distinct()
-    rows = sets.where("__c <> ''").select("__c", "__p", F.explode(F.split("__c", ",")).alias("category_id")).join(ontology, "category_id")
-    picks = sets.where("__c = '' and __p <> ''").select("__c", "__p", F.explode(F.split("__p", ",")).alias("parameter_id")).join(ontology, "parameter_id")
-    keep = ["__c", "__p", "ord", "parameter_name", "parameter_description", "parameter_synonyms", "units", "parameter_category"]
-    texts = llm_block(rows.select(keep).unionByName(picks.select(keep)), ["__c", "__p"])
-    whole = llm_block(ontology).select(F.col("ontology_subset").alias("__all"))
-    return df.join(texts, ["__c", "__p"], "left").crossJoin(F.broadcast(whole)).withColumn("ontology_subset", F.coalesce("ontology_subset", "__all")).drop("__c", "__p", "__all")  # one row
+    """df with ontology_subset, the entries of its categories, else of its ids, in order; the whole ontology where none matched.
+
+    The entries come as one row, a map by category and one by id, so that df is read once and its rows stay where
+    they are: few sets occur, and a join on them would put most rows into a few tasks.
+    """
+    entries = ontology.select("category_id", "parameter_id", F.struct("ord", llm_entry().alias("entry")).alias("e"))
+
+    def mapped(key: str, name: str) -> DataFrame:
+        lists = entries.where(F.col(key).isNotNull()).groupBy(key).agg(F.collect_list("e").alias("es"))
+        return lists.agg(F.map_from_entries(F.collect_list(F.struct(key, "es"))).alias(name))
+
+    known = mapped("category_id", "__by_category").crossJoin(mapped("parameter_id", "__by_id")).crossJoin(llm_block(ontology).select(F.col("ontology_subset").alias("__all")))
+    out = df.crossJoin(F.broadcast(known))  # one row, as large as the ontology
+    none = F.array().cast(known.schema["__by_id"].dataType.valueType)
+    found = lambda keys, table: F.flatten(F.transform(keys, lambda x: F.coalesce(F.try_element_at(table, x), none)))
+    picked = F.when(F.size("categories") > 0, found("categories", "__by_category")).when(F.size("categories") == 0, found("subsetted_concepts", "__by_id"))
+    out = out.withColumn("__picked", picked)
+    text = F.array_join(F.transform(F.array_sort("__picked"), lambda e: e["entry"]), "\n\n")
+    text = F.when(F.size("__picked") > 0, text).otherwise(F.col("__all"))
+    return out.withColumn("ontology_subset", text).drop("__picked", "__by_category", "__by_id", "__all")
 
 
 def split_matched(df: DataFrame) -> tuple[DataFrame, DataFrame]:
