@@ -71,7 +71,9 @@ def link_exact(mentions: DataFrame, index: DataFrame, table_mentions: bool = Fal
     status = F.when(n < 0, "excluded").when(n == 0, "unlinked").when((n == 1) | default, "linked").when(d["param_id"].isNotNull(), "disambiguated").when(known, "multi").otherwise("unlinked")
     pred = F.when(n == 1, F.get(ids, 0)).when((n > 1) & default, F.lit("Q57")).when((n > 1) & d["param_id"].isNotNull(), d["param_id"]).otherwise(F.lit(rules.NIL))
     open_ = F.when((n > 1) & ~default & d["param_id"].isNull(), d["candidates"])
-    return found.withColumns({"status": status, "y_pred": pred, "potential_candidates": open_}).drop("__key", "__n", "__said", "__d", "param_ids")
+    # an explode of one element: a filter on a result would else go below the rules, with a copy of them for each mention of it
+    found = found.withColumn("__r", F.explode(F.array(F.struct(status.alias("status"), pred.alias("y_pred"), open_.alias("potential_candidates")))))
+    return found.withColumns({c: F.col(f"__r.{c}") for c in ("status", "y_pred", "potential_candidates")}).drop("__key", "__n", "__said", "__d", "__r", "param_ids")
 
 
 def linked(results: DataFrame) -> DataFrame:
