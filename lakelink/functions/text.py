@@ -120,10 +120,16 @@ def token_key(tokens: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(tokens)), KEY_SEPARATOR)
 
 
+def once(col: Column) -> Column:
+    """The column by way of an explode of one element: filters on it stay above, so that it is made once for a row
+    and never for the rows that a distinct below it has taken together."""
+    return F.explode(F.array(col))
+
+
 def tokenised(df: DataFrame, text: str, build: Callable[[Column], Column], name: str = "tokens") -> DataFrame:
     """df with `name` = build(text), computed once for each distinct text and joined back.
 
     The join is a plain one: Spark broadcasts the distinct side where it measures it to be small.
     """
-    distinct = df.select(F.col(text).alias("__t")).where("__t is not null").distinct().withColumn(name, build(F.col("__t")))
+    distinct = df.select(F.col(text).alias("__t")).where("__t is not null").distinct().withColumn(name, once(build(F.col("__t"))))
     return df.join(distinct, F.col(text) == F.col("__t"), "left").drop("__t")

@@ -37,3 +37,12 @@ def test_filter_on_status_leaves_the_rules_once(spark):
 def test_matched_metrics_reads_rows_once(spark):
     rows = spark.range(9).select((F.col("id") % 2 == 0).alias("m"), F.lit("a").alias("label"), F.lit("a").alias("top_pred"))
     assert plan(metrics.matched_metrics(rows, F.col("m"))).count("Range (0, 9") == 1
+
+
+def test_tokens_are_made_of_distinct_texts(spark):
+    """What a join or an explode asks of tokens does not go below the distinct texts."""
+    from lakelink.plans import linking
+
+    df = linking.constrained(spark, "/root/testdata/sf0.001")
+    lines = plan(df.join(df.select("tokens").distinct(), "tokens")).splitlines()
+    assert not [x for x in lines if "Filter" in x and "regexp_replace" in x]
