@@ -21,9 +21,16 @@ BOTH, UNICODE = "(?iU)", "(?U)"
 KEY_SEPARATOR = "\u0001"
 
 
+#: Rows whose strings are held as Python's at a time.
+SLICE = 64
+
+
 @F.arrow_udf(T.StringType())
 def nfkc(text: pa.Array) -> pa.Array:
-    return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
+    def some(part: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in part.to_pylist()], pa.string())
+
+    return pa.concat_arrays([some(text.slice(i, SLICE)) for i in range(0, max(len(text), 1), SLICE)])
 
 
 def rewrite(col: Column, table: Sequence[tuple[str, str]], flags: str = BOTH) -> Column:

@@ -46,3 +46,17 @@ def test_tokens_are_made_of_distinct_texts(spark):
     df = linking.constrained(spark, "/root/testdata/sf0.001")
     lines = plan(df.join(df.select("tokens").distinct(), "tokens")).splitlines()
     assert not [x for x in lines if "Filter" in x and "regexp_replace" in x]
+
+
+def test_normalising_holds_few_strings():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rows = pa.array(["ﬁü" * 500] * 2000 + [None])
+    tracemalloc.start()
+    out = text.nfkc.func(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.to_pylist() == ["fiü" * 500] * 2000 + [None] and len(text.nfkc.func(rows.slice(0, 0))) == 0
+    assert peak < 1_000_000  # before, every string of a batch and its new form
